@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from rillmark.llm import simhash
+from rillmark.llm import packing, simhash, tokens
 
 QUERIES = {
+    "op3_packing": packing.op3,
+    "op4_tokens": tokens.op4,
     "op8_simhash": simhash.op8,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -96,14 +96,14 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 class Words:
-    """The words (runs without ASCII white space) of a slice of texts, A-Z in lower case.
+    """The words (runs without ASCII white space) of a slice of texts, A-Z in lower case unless told otherwise.
 
     ``data``: the words' bytes with one space after each; word i is data[start[i]:start[i]+length[i]].
     ``first``: index of each text's first word, with the number of words as last.
     ``begin``: where each word begins in its own text, in bytes.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = True):
         raw, at = bytes_of(texts)
         solid = ~SPACE[raw]
         edge = np.zeros(len(raw) + 1, bool)
@@ -122,11 +122,19 @@ class Words:
         self.data = np.full(int(self.length.sum()) + count, 32, np.uint8)
         if count:
             where = np.arange(int(self.length.sum())) + np.repeat(np.arange(count), self.length)
-            self.data[where] = LOWER[raw[solid]]
+            self.data[where] = LOWER[raw[solid]] if lower else raw[solid]
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def distinct(self) -> tuple[np.ndarray, pa.Array]:
+        """The number of each word in the list of distinct words, and that list."""
+        at = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int32)
+        solid = np.ones(len(self.data), bool)
+        solid[self.start + self.length] = False
+        words = pa.StringArray.from_buffers(len(self), pa.py_buffer(at), pa.py_buffer(self.data[solid])).dictionary_encode()
+        return words.indices.to_numpy(zero_copy_only=False), words.dictionary
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, from prefix sums of a polynomial over its bytes."""
         if not len(self):
@@ -158,6 +166,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... (length[0] of them), then the same for the next start."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and links a-b: the smallest node of each node's component."""
     label = np.arange(n)
