@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from rillmark.llm import packing, simhash, tokens
+from rillmark.llm import embeddings, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_embeddings": embeddings.op1,
     "op3_packing": packing.op3,
     "op4_tokens": tokens.op4,
+    "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
+    "op10_toxicity": toxicity.op10,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embeddings": embeddings.OP1_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

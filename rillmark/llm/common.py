@@ -93,19 +93,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII byte but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 class Words:
     """The words (runs without ASCII white space) of a slice of texts, A-Z in lower case unless told otherwise.
+    ``between``: the bytes that stand between words.
 
     ``data``: the words' bytes with one space after each; word i is data[start[i]:start[i]+length[i]].
     ``first``: index of each text's first word, with the number of words as last.
     ``begin``: where each word begins in its own text, in bytes.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, between: np.ndarray = SPACE):
         raw, at = bytes_of(texts)
-        solid = ~SPACE[raw]
+        solid = ~between[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[at] = True
         opens, closes = solid.copy(), solid.copy()
