@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rillmark.llm import embeddings, packing, quality, simhash, tokens, toxicity
+from rillmark.llm import chat, embeddings, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1,
+    "op2_chat": chat.op2,
     "op3_packing": packing.op3,
     "op4_tokens": tokens.op4,
     "op7_quality": quality.op7,
@@ -14,4 +15,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embeddings": embeddings.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
 }
