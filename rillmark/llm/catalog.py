@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rillmark.llm import chat, embeddings, packing, quality, simhash, tokens, toxicity
+from rillmark.llm import chat, embeddings, fingerprint, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1,
     "op2_chat": chat.op2,
     "op3_packing": packing.op3,
     "op4_tokens": tokens.op4,
+    "op5_fingerprints": fingerprint.op5,
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
     "op10_toxicity": toxicity.op10,
