@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillmark.llm import chat, embeddings, fingerprint, packing, quality, simhash, tokens, toxicity
+from rillmark.llm import chat, embeddings, fingerprint, packing, pieces, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fingerprints": fingerprint.op5,
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
+    "op9_sentencepiece": pieces.op9,
     "op10_toxicity": toxicity.op10,
 }
 ORACLE_SQL: dict[str, str] = {
