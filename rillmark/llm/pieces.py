@@ -67,6 +67,9 @@ class PieceModel:
         keys = mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + self.lengths.astype(np.uint64))
         order = np.argsort(keys)
         self.keys, self.number = keys[order], order
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(keys >> np.uint64(44)).astype(np.int64)] = True
+        self.memo_key, self.memo = np.full(1 << 20, -1), np.zeros(1 << 20, bool)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
         self.score = np.array([spec.pieces[i].score for i in keep])
@@ -88,8 +91,12 @@ class PieceModel:
         return mix(chars.astype(np.uint64) + np.uint64(0x51ED2701)) | np.uint64(1)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.number[at], -1)
+        """The numbers of the pieces with these hashes, -1 for none; a bit table turns most others away first."""
+        out = np.full(len(keys), -1)
+        maybe = np.flatnonzero(self.seen[(keys >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == keys[maybe], self.number[at], -1)
+        return out
 
     def _splits(self, chars: np.ndarray, at: np.ndarray, total: np.ndarray, down: np.ndarray) -> None:
         left, right, whole = [], [], []
@@ -134,6 +141,19 @@ class PieceModel:
             b[live[~undo]] = self.left[b[live[~undo]]]
         return out
 
+    def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stand`` behind a table of recent answers (one place for each hash, of fixed size)."""
+        key = np.where((a >= 0) & (b >= 0), a * len(self.ids) + b, -2)
+        slot = (mix(key.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        out = self.memo[slot] | (key == -2)
+        miss = np.flatnonzero((self.memo_key[slot] != key) & (key != -2))
+        if len(miss):
+            out[miss] = self.stand(a[miss], b[miss])
+            self.memo_key[slot[miss]] = key[miss]
+            good = self.memo_key[slot[miss]] == key[miss]  # of several misses for one place the last one stays
+            self.memo[slot[miss[good]]] = out[miss[good]]
+        return out
+
     def blank_run(self, n: int) -> list[int]:
         return _blank_run(self, n)
 
@@ -141,43 +161,45 @@ class PieceModel:
         """The piece numbers (-1 - code point for a character without piece) of all words, and where each word's begin."""
         chars, at = codepoints(words)
         size = np.diff(at)
-        up, down = powers(len(chars) + 1)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self._code(chars) * up[: len(chars)], dtype=np.uint64)])
+        longest = int(size.max()) if len(size) else 0
+        up, down = powers(longest + 1)
         got_word, got_place, got_piece = [], [], []
         for length in np.unique(size):
             group = np.flatnonzero(size == length)
-            begin, n = at[group], len(group)
-            last = np.full((n, length + 1), -1)
-            back = np.zeros((n, length + 1), np.int32)
-            worth = np.full((n, length + 1), -np.inf)
-            worth[:, 0] = 0
+            n = len(group)
+            letters = chars[at[group][:, None] + np.arange(length)].T  # a row for each place, so that steps read along memory
+            total = np.zeros((length + 1, n), np.uint64)
+            np.cumsum(self._code(letters) * up[:length, None], axis=0, out=total[1:])
+            last = np.full((length + 1, n), -1)
+            back = np.zeros((length + 1, n), np.int32)
+            worth = np.full((length + 1, n), -np.inf)
+            worth[0] = 0
             for end in range(1, length + 1):
                 for m in range(1, min(end, self.longest) + 1):
-                    low = begin + end - m
-                    piece = self.find(mix((total[low + m] - total[low]) * down[low] + np.uint64(m)))
-                    rows = np.flatnonzero((piece >= 0) if m > 1 else np.ones(n, bool))
+                    piece = self.find(mix((total[end] - total[end - m]) * down[end - m] + np.uint64(m)))
+                    rows = np.flatnonzero(piece >= 0) if m > 1 else np.arange(n)
+                    if not len(rows):
+                        continue
+                    before = worth[end - m][rows]
                     if self.bpe:
-                        rows = rows[(piece[rows] < 0) | self.usable[piece[rows]]]
-                        if not len(rows):
-                            continue
-                        reach = np.isfinite(worth[rows, end - m])
-                        rows = rows[reach]
+                        fits = np.isfinite(before) & ((piece[rows] < 0) | self.usable[piece[rows]])
+                        rows = rows[fits]
                         if end > m:
-                            rows = rows[self.stand(last[rows, end - m], piece[rows])]
+                            rows = rows[self.neighbours(last[end - m][rows], piece[rows])]
                         gain = np.zeros(len(rows))
                     else:
-                        gain = worth[rows, end - m] + np.where(piece[rows] >= 0, self.score[piece[rows]], self.score.min() - 10)
-                    better = gain > worth[rows, end]
+                        gain = before + np.where(piece[rows] >= 0, self.score[piece[rows]], self.score.min() - 10)
+                    better = gain > worth[end][rows]
                     rows = rows[better]
-                    worth[rows, end], back[rows, end], last[rows, end] = gain[better], m, piece[rows]
+                    worth[end, rows], back[end, rows], last[end, rows] = gain[better], m, piece[rows]
             end, rows = np.full(n, length), np.arange(n)
             while len(rows):
                 here = end[rows]
-                piece = last[rows, here]
+                piece = last[here, rows]
                 got_word.append(group[rows])
                 got_place.append(here)
-                got_piece.append(np.where(piece >= 0, piece, -1 - chars[begin[rows] + here - 1].astype(np.int64)))
-                end[rows] = here - back[rows, here]
+                got_piece.append(np.where(piece >= 0, piece, -1 - letters[here - 1, rows].astype(np.int64)))
+                end[rows] = here - back[here, rows]
                 rows = rows[end[rows] > 0]
         if not got_word:
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
