@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillmark.llm import chat, embeddings, fingerprint, packing, pieces, quality, simhash, tokens, toxicity
+from rillmark.llm import chat, embeddings, fingerprint, packing, passages, pieces, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3,
     "op4_tokens": tokens.op4,
     "op5_fingerprints": fingerprint.op5,
+    "op6_passages": passages.op6,
     "op7_quality": quality.op7,
     "op8_simhash": simhash.op8,
     "op9_sentencepiece": pieces.op9,
