@@ -51,8 +51,10 @@ def bloom(df: DataFrame, item: str | Column, time: str, window: str, num_bits: i
 
 
 def moments(df: DataFrame, value: str, time: str, window: str, by=None, session_gap: str | None = None) -> DataFrame:
-    """(window_start, keys, n, mean, variance, min, max) per tumbling or, with a gap, session window."""
+    """(window_start, keys, n, mean, variance, min, max) per tumbling or, with a gap, session window (these need keys)."""
     keys = key_names(by)
+    if session_gap and not keys:
+        raise ValueError("session windows need keys")
     w = F.session_window(time, session_gap) if session_gap else F.window(time, window)
     v = F.when(~F.isnan(value), F.col(value))
     out = df.groupBy(w.alias("w"), *keys).agg(F.count(v).alias("n"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(v), F.lit(0.0)).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"))
