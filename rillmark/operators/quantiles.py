@@ -46,13 +46,46 @@ def compress(mean: np.ndarray, weight: np.ndarray, compression: float) -> tuple[
 
 
 class _Stream:
-    """Sorted values of one key, compressed as they pass: holds one chunk and the centroids."""
+    """Sorted values or centroids of one key, compressed as they pass: holds one chunk and the finished centroids."""
 
-    def __init__(self):
+    def __init__(self, compression: float):
+        self.compression = compression
         self.means, self.weights = [], []
-        self.seen = 0
-        self.carry = (np.zeros(0), np.zeros(0, np.int64))
-        self.total = self.low = self.high = None
+        self.seen = self.done = 0
+        self.mean, self.weight = np.zeros(0), np.zeros(0, np.int64)
+        self.extent: tuple | None = None
+
+    def advance(self, mean: np.ndarray, weight: np.ndarray, extent: tuple) -> None:
+        self.extent = extent
+        total = extent[0]
+        self.seen += int(weight.sum())
+        mean, weight = np.concatenate([self.mean, mean]), np.concatenate([self.weight, weight])
+        ends = self.done + np.cumsum(weight)
+        k = scale(ends / total, self.compression)
+        start, k0 = 0, float(scale(self.done / total, self.compression))
+        while start < len(mean):
+            stop = max(int(np.searchsorted(k - k0, 1.0, side="right")), start + 1)
+            if stop >= len(mean) and self.seen < total:
+                break  # the centroid may go on in the next chunk
+            w = int(ends[stop - 1]) - self.done
+            part = slice(start, stop)
+            self.means.append(float(mean[start]) if stop == start + 1 else float((mean[part] * (weight[part] / w)).sum()))
+            self.weights.append(w)
+            self.done += w
+            start, k0 = stop, float(k[stop - 1])
+        mean, weight = mean[start:], weight[start:]
+        if len(mean) > 1 << 20:  # all of one centroid
+            w = weight.sum()
+            mean, weight = np.array([(mean * (weight / w)).sum()]), np.array([w])
+        self.mean, self.weight = mean, weight
+
+    def rows(self) -> dict[str, list]:
+        n = len(self.means)
+        return {"pos": list(range(n)), "mean": self.means, "weight": self.weights, **{c: [x] * n for c, x in zip(("total", "low", "high"), self.extent, strict=True)}}
+
+
+def _extent(batch: pa.RecordBatch) -> tuple:
+    return tuple(batch.column(batch.schema.get_field_index(c))[0].as_py() for c in ("total", "low", "high"))
 
 
 @dataclass(frozen=True)
@@ -84,32 +117,9 @@ class TDigest(Sketch):
         schema = f"{CENTROIDS}, {EXTENT}"
 
         def step(state: _Stream, batch: pa.RecordBatch) -> None:
-            values = batch.column(0).to_numpy()
-            if state.total is None:
-                state.total, state.low, state.high = (batch.column(i)[0].as_py() for i in (1, 2, 3))
-            mean, weight = np.concatenate([state.carry[0], values]), np.concatenate([state.carry[1], np.ones(len(values), np.int64)])
-            state.seen += len(values)
-            done = sum(state.weights)
-            ends = done + np.cumsum(weight)
-            k = scale(ends / state.total, compression)
-            start, k0 = 0, float(scale(done / state.total, compression))
-            while start < len(mean):
-                stop = max(int(np.searchsorted(k - k0, 1.0, side="right")), start + 1)
-                if stop >= len(mean) and state.seen < state.total:
-                    break  # the centroid may go on in the next batch
-                w = int(ends[stop - 1] - (ends[start - 1] if start else done))
-                part = slice(start, stop)
-                state.means.append(float(mean[start]) if stop == start + 1 else float((mean[part] * (weight[part] / w)).sum()))
-                state.weights.append(w)
-                start, k0 = stop, float(k[stop - 1])
-            w = weight[start:].sum()
-            state.carry = (mean[start:], weight[start:]) if len(mean) - start <= 1 << 20 else (np.array([(mean[start:] * (weight[start:] / w)).sum()]), np.array([w]))
-
-        def finish(s: _Stream) -> dict[str, list]:
-            n = len(s.means)
-            return {"pos": list(range(n)), "mean": s.means, "weight": s.weights, "total": [s.total] * n, "low": [s.low] * n, "high": [s.high] * n}
-
-        return cls(fold_groups(wide, keys, ["__v"], ["__v", "total", "low", "high"], _Stream, step, finish, schema), keys, compression)
+            state.advance(batch.column(0).to_numpy(), np.ones(batch.num_rows, np.int64), _extent(batch))
+
+        return cls(fold_groups(wide, keys, ["__v"], ["__v", "total", "low", "high"], lambda: _Stream(compression), step, _Stream.rows, schema), keys, compression)
 
     @staticmethod
     def _partial(rows: DataFrame, keys: tuple[str, ...], compression: float, chunk: int = 1 << 16) -> DataFrame:
@@ -166,19 +176,10 @@ class TDigest(Sketch):
         names = ["mean", "weight"]
         wide = table.select(*keys, *names).crossJoin(F.broadcast(extent)) if not keys else table.select(*keys, *names).join(extent, [*keys])
 
-        def start() -> list:
-            return []
-
-        def step(state: list, batch: pa.RecordBatch) -> None:
-            state.append(batch)
-
-        def finish(state: list) -> dict[str, list]:
-            mean, weight = (np.concatenate([b.column(i).to_numpy() for b in state]) for i in (0, 1))
-            mean, weight = compress(mean, weight, compression)
-            n = len(mean)
-            return {"pos": list(range(n)), "mean": mean.tolist(), "weight": weight.tolist(), **{c: [state[0].column(2 + i)[0].as_py()] * n for i, c in enumerate(("total", "low", "high"))}}
+        def step(state: _Stream, batch: pa.RecordBatch) -> None:
+            state.advance(batch.column(0).to_numpy(), batch.column(1).to_numpy(), _extent(batch))
 
-        return fold_groups(wide, keys, ["mean", "weight"], ["mean", "weight", "total", "low", "high"], start, step, finish, f"{CENTROIDS}, {EXTENT}")
+        return fold_groups(wide, keys, ["mean", "weight"], ["mean", "weight", "total", "low", "high"], lambda: _Stream(compression), step, _Stream.rows, f"{CENTROIDS}, {EXTENT}")
 
     def _check(self, other: Sketch) -> None:
         close = isinstance(other, TDigest) and abs(other.compression - self.compression) / max(self.compression, other.compression) <= 1e-6
