@@ -13,11 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from rillmark.llm.common import ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 NONE = np.iinfo(np.int64).max
+KEPT = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -49,6 +51,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
+        self.known_chunks, self.known_ids, self.known_at = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(1, np.int64)
         # the vocabulary's own pattern for text of ASCII letters; other text is split by the library
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\v\f\ra-z0-9]+"
         self.ascii, self.ascii_lines = re.compile(pattern), re.compile(pattern + "|\n")
@@ -130,8 +133,25 @@ class WordBPE:
         order = np.argsort(owners, kind="stable")
         return owners[order], indices[order], tokens
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all chunks (texts without ASCII white space), and where each chunk's begin."""
+    def encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks (texts without ASCII white space), and where each chunk's begin.
+
+        The first ``KEPT`` chunks that a worker meets stay known to it, so frequent ones are encoded once."""
+        at = pc.index_in(chunks, value_set=self.known_chunks)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        ids, ends = self.encode_new(chunks.take(pa.array(new)).to_pylist())
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        begin, size = self.known_at[:-1][at] if len(self.known_chunks) else np.zeros(len(at), np.int64), np.diff(self.known_at)[at] if len(self.known_chunks) else np.zeros(len(at), np.int64)
+        begin[new], size[new] = len(self.known_ids) + ends[:-1], np.diff(ends)
+        out = np.concatenate([self.known_ids, ids])[ragged(begin, size)]
+        more = min(KEPT - len(self.known_chunks), len(new))
+        if more > 0:
+            self.known_chunks = pa.concat_arrays([self.known_chunks, chunks.take(pa.array(new[:more]))])
+            self.known_at = np.concatenate([self.known_at, len(self.known_ids) + ends[1 : more + 1]])
+            self.known_ids = np.concatenate([self.known_ids, ids[: ends[more]]])
+        return out, np.concatenate([[0], np.cumsum(size)])
+
+    def encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owner, index, tokens = self.split(chunks)
         marks = [i for i, x in enumerate(tokens) if isinstance(x, int)]
         specials = np.array([tokens[i] for i in marks], np.int64)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.bpe import word_bpe
-from rillmark.llm.common import Words, ragged, table, text_slices
+from rillmark.llm.common import Words, ragged, table, text_slices, tidy
 
 LIMIT = 2048
 
@@ -22,7 +22,7 @@ def text_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     number, chunks = words.distinct()
-    ids, at = word_bpe(path).encode(chunks.to_pylist())
+    ids, at = word_bpe(path).encode(chunks)
     size = np.diff(at)[number]
     return ids[ragged(at[number], size)], np.concatenate([[0], np.cumsum(size)])[words.first]
 
@@ -40,12 +40,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             total = np.zeros(len(words) + 1, np.int64)
             if len(words):
                 number, chunks = words.distinct()
-                _, at = word_bpe(path).encode(chunks.to_pylist())
+                _, at = word_bpe(path).encode(chunks)
                 np.cumsum(np.diff(at)[number], out=total[1:])
             count = np.diff(total[words.first])
             yield pa.RecordBatch.from_arrays([rows.column(0), pc.binary_length(texts).cast("int64"), pa.array(count), pa.array(count > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4(spark, sf_dir):
