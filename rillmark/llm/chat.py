@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import materialize, shuffle_width, table
+from rillmark.llm.common import materialize, shuffle_width, table, tidy
 
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>")
@@ -110,7 +110,7 @@ def turns(rows: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
 
     clean = rows.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "turn")
     order = clean.repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return order.select("conv_id", "role", "text").mapInArrow(run, schema)
+    return order.select("conv_id", "role", "text").mapInArrow(tidy(run), schema)
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -183,7 +183,7 @@ def prefix_forest(rows: DataFrame, loss_role: str = LOSS_ROLE) -> Forest:
             kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], ["pid", "first", "lengths", "last", "starts", "least", "total"])
 
-    seen = dealt.mapInArrow(borders, "pid int, first binary, lengths array<int>, last binary, starts array<long>, least int, total long").collect()  # a row per partition
+    seen = dealt.mapInArrow(tidy(borders), "pid int, first binary, lengths array<int>, last binary, starts array<long>, least int, total long").collect()  # a row per partition
     begin: dict[int, tuple[int, bytes, list[int]]] = {}
     cursor, path, starts = 0, b"", []
     for r in sorted(seen, key=lambda r: r["pid"]):
@@ -222,7 +222,7 @@ def prefix_forest(rows: DataFrame, loss_role: str = LOSS_ROLE) -> Forest:
         if out:
             yield flush()
 
-    placed = dealt.mapInArrow(place, "node binary, start long, position long, n_chars long, attention array<struct<begin:long,end:long>>")
+    placed = dealt.mapInArrow(tidy(place), "node binary, start long, position long, n_chars long, attention array<struct<begin:long,end:long>>")
     bodies = all_turns.groupBy("node").agg(F.first(F.struct("parent", "body", "loss_start", "loss_end")).alias("b"))  # equal nodes have equal bodies
     nodes = placed.join(bodies, "node").select("node", "b.parent", "start", "position", "n_chars", "attention", "b.body", "b.loss_start", "b.loss_end")
     return Forest(materialize(nodes, "nodes"), convs)
@@ -268,7 +268,7 @@ def read_back(forest: Forest) -> DataFrame:
             close()
             yield flush()
 
-    return got.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return got.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "\\### Assistant: </turn> ok"

@@ -7,16 +7,21 @@ handled with numpy as one array.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 20
+BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +59,75 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gets batches of bounded size and leaves its worker's memory to the system.
+
+    Workers live on after a task and would keep what they have freed; and a batch is else bounded by rows alone."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > SLICE_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{SLICE_BYTES}b")
+
+    def tidied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def _bytes(setting: str) -> int:
+    digits = setting.strip().lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(digits[-1:], 1)
+    return int(digits.rstrip("kmg") or 0) * unit
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one if a column is already called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit table of fixed size (1 MB) in which every id of the column has its bit; others are mostly without."""
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).collect()
+    out = np.zeros(BITS // 64, np.int64)
+    for r in words:
+        out[r["w"]] = r["bits"]
+    return out
+
+
+def id_bit(id_col: str = "id") -> Column:
+    """An id's place in the bit table."""
+    return F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BITS)), F.lit(0))
+
+
+def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool) -> DataFrame:
+    """The rows whose id has its bit (or has not)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            some = pa.array((((bits[at // 64] >> (at % 64)) & 1) == 1) == keep)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(some)
+
+    return rows.withColumn(free_name(rows.columns, "bit"), id_bit(id_col)).mapInArrow(tidy(run), schema)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches holding about ``limit`` bytes of text each (one row at least), null texts as empty."""
     for batch in batches:
@@ -124,8 +194,9 @@ class Words:
         self.start = np.cumsum(self.length + 1) - (self.length + 1)
         self.data = np.full(int(self.length.sum()) + count, 32, np.uint8)
         if count:
-            where = np.arange(int(self.length.sum())) + np.repeat(np.arange(count), self.length)
-            self.data[where] = LOWER[raw[solid]] if lower else raw[solid]
+            filled = np.ones(len(self.data), bool)
+            filled[self.start + self.length] = False
+            self.data[filled] = LOWER[raw[solid]] if lower else raw[solid]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -140,12 +211,19 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, from prefix sums of a polynomial over its bytes."""
-        if not len(self):
-            return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.start + self.length] - total[self.start]) * down[self.start] + self.length.astype(np.uint64))
+        out = np.zeros(len(self), np.uint64)
+        low = 0
+        while low < len(self):  # block by block, so that the powers stay few
+            base = self.start[low]
+            high = max(int(np.searchsorted(self.start, base + HASH_BYTES)), low + 1)
+            start, length = self.start[low:high] - base, self.length[low:high]
+            data = self.data[base : base + start[-1] + length[-1]]
+            up, down = powers(len(data) + 1)
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(BYTE_CODES[data] * up[: len(data)], out=total[1:])
+            out[low:high] = mix((total[start + length] - total[start]) * down[start] + length.astype(np.uint64))
+            low = high
+        return out
 
 
 BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,7 +235,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9E3779B97F4A7C15
         inverse = pow(base, -1, 2**64)
-        size = max(n, SLICE_BYTES)
+        size = max(n, HASH_BYTES)
         _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(x), np.uint64)])) for x in (base, inverse)]
     return _POWERS[0], _POWERS[1]
 

@@ -18,9 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import materialize, shuffle_width, table, text_slices
+from rillmark.llm.common import materialize, shuffle_width, table, text_slices, tidy
 
-ROWS_CHARS = 16 << 20
+ROWS_CHARS = 128 << 20
 
 
 def canonical(text: str) -> bytes:
@@ -49,7 +49,7 @@ def marks(docs: DataFrame) -> DataFrame:
             values = texts.to_pylist()
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(t) for t in values], pa.int64()), pa.array([digest(canonical(t)) for t in values], pa.string())], ["id", "n_chars", "digest"])
 
-    return docs.mapInArrow(run, "id long, n_chars long, digest string")
+    return docs.mapInArrow(tidy(run), "id long, n_chars long, digest string")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, batch.column(0).to_numpy(), side="right").astype(np.int32)), batch.column(0)], ["p", "id"])
 
-    firsts = {r["p"]: r["id"] for r in known.select("id").mapInArrow(range_no, "p int, id long").groupBy("p").agg(F.min("id").alias("id")).collect()}
+    firsts = {r["p"]: r["id"] for r in known.select("id").mapInArrow(tidy(range_no), "p int, id long").groupBy("p").agg(F.min("id").alias("id")).collect()}
     full = sorted(firsts)
     before = {firsts[p]: full[i - 1] for i, p in enumerate(full)}  # the first id of a range is also sent to the range before; the lowest to the last
 
@@ -98,8 +98,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(n, bool)), batch.column(0), pa.array(np.zeros(n, np.int32)), batch.column(1), pa.nulls(n, pa.binary())], ["p", "last", "id", "kind", "digest", "packed"])
 
     schema = "p int, last boolean, id long, kind int, digest string, packed binary"
-    several = known.select("id", "digest").join(shared, "digest").select("id", "digest").mapInArrow(flag, schema)
-    dealt = rows.mapInArrow(deal, schema).union(several).repartitionById(n_parts, "p").sortWithinPartitions("p", "last", "id", "kind", "packed")
+    several = known.select("id", "digest").join(shared, "digest").select("id", "digest").mapInArrow(tidy(flag), schema)
+    dealt = rows.mapInArrow(tidy(deal), schema).union(several).repartitionById(n_parts, "p").sortWithinPartitions("p", "last", "id", "kind", "packed")
     names = ["id", "n_chars", "edited_sha256", "digest", "edited_digest", "sha", "edited_sha", "near_edited", "near_next", "canon"]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64(), pa.binary()]
 
@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    got = materialize(dealt.mapInArrow(stream, "id long, n_chars long, edited_sha256 string, digest string, edited_digest string, sha string, edited_sha string, near_edited double, near_next double, canon binary"), "fingerprints")
+    got = materialize(dealt.mapInArrow(tidy(stream), "id long, n_chars long, edited_sha256 string, digest string, edited_digest string, sha string, edited_sha string, near_edited double, near_next double, canon binary"), "fingerprints")
     # equal compressed forms are equal texts; forms that differ are compared by the digests of what they hold
     clash = got.where(F.col("canon").isNotNull()).groupBy("digest").agg(F.min("canon").alias("a"), F.max("canon").alias("b"), F.min("sha").alias("c"), F.max("sha").alias("d")).where("a != b and c != d").select("digest")
     out = got

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import materialize, ragged, table, text_slices
+from rillmark.llm.common import materialize, ragged, table, text_slices, tidy
 from rillmark.llm.tokens import text_ids
 
 CAPACITY, END_ID, BUCKETS, ROUNDS = 2048, 0, 64, 24
@@ -48,11 +48,13 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out = [rows.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([low, [len(flat)]]).astype(np.int32)), pa.array(flat.astype(np.int32))))
+            del ids, at, flat, data, crc
             yield pa.RecordBatch.from_arrays(out, names)
+            del out
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +207,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, bucke
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

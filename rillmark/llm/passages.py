@@ -21,12 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import Words, materialize, mix, powers, shuffle_width, table, text_slices
+from rillmark.llm.common import Words, free_name, id_bit, id_filter, materialize, mix, powers, shuffle_width, table, text_slices, tidy, with_bit
 
 KMER, WINDOW, MIN_WORDS, IDENTITY = 8, 10, 45, 0.8
 MAX_GAP, GAP_COST, MARGIN, DROP = 32, 0.25, 40, 8
 FREQUENT, LEAST_SPAN = 4, 12
-BITS = 1 << 23
 TOP = np.uint64(2**64 - 1)
 
 
@@ -77,7 +76,7 @@ def seed_rows(docs: DataFrame) -> DataFrame:
             if len(met):
                 yield pa.RecordBatch.from_arrays([pa.array(mix(seed[met] + pos[met].astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(met), np.int32)), pa.array(ids[met]), pa.array(pos[met].astype(np.int32)), pa.array(ids[head[met]]), pa.array(pos[head[met]].astype(np.int32))], names)
 
-    return docs.mapInArrow(run, "seed long, kind int, id long, pos int, rid long, rpos int")
+    return docs.mapInArrow(tidy(run), "seed long, kind int, id long, pos int, rid long, rpos int")
 
 
 def matches(seeds: DataFrame) -> DataFrame:
@@ -107,7 +106,7 @@ def matches(seeds: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(pos[met]), pa.array(rid[met]), pa.array(rpos[met])], names)
 
     width = shuffle_width(seeds.sparkSession)
-    return seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "pos").mapInArrow(run, "id long, pos int, rid long, rpos int")
+    return seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "pos").mapInArrow(tidy(run), "id long, pos int, rid long, rpos int")
 
 
 class Fenwick:
@@ -204,7 +203,7 @@ def chains(found: DataFrame, kmer: int = KMER) -> DataFrame:
             yield from settle(*rest)
 
     width = shuffle_width(found.sparkSession)
-    return found.repartition(width, "id", "rid").sortWithinPartitions("id", "rid", "pos").mapInArrow(run, "id long, rid long, runs array<int>")
+    return found.repartition(width, "id", "rid").sortWithinPartitions("id", "rid", "pos").mapInArrow(tidy(run), "id long, rid long, runs array<int>")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -260,29 +259,6 @@ def align(runs: np.ndarray, a: np.ndarray, a_from: int, b: np.ndarray, b_from: i
     return [p for p in (passage(k, k) for k in range(len(runs))) if p]
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit table of fixed size (1 MB) in which every id of the column has its bit; others are mostly without."""
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
-    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(BITS // 64, np.int64)
-    for r in words:
-        out[r["w"]] = r["bits"]
-    return out
-
-
-def with_bit(rows: DataFrame, bits: np.ndarray, names: list[str], keep: bool = True) -> DataFrame:
-    """The rows whose id has its bit (or has not); ``names``: columns to keep."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            yield batch.select(names).filter(pa.array((((bits[at // 64] >> (at % 64)) & 1) == 1) == keep))
-
-    bit = F.coalesce(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(BITS)), F.lit(0))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("__bit", bit).mapInArrow(run, schema)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """(id, start, end, rid, rstart, rend, identity): words start..end-1 of document id also stand, nearly so, in the
     earlier document rid (words are runs without ASCII white space, A-Z in lower case; rid < id).
@@ -313,6 +289,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def texts_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch, texts in text_slices(batches):
+            bit = batch.column(2).to_numpy()
+            some = pa.array(np.flatnonzero((bits[bit // 64] >> (bit % 64)) & 1))
+            batch, texts = batch.take(some), texts.take(some)
             ids = batch.column(0).to_numpy()
             n = copies(ids)
             who = np.repeat(np.arange(len(ids)), n)
@@ -362,10 +341,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "start", "end", "rid", "rstart", "rend", "identity"])
 
     width = shuffle_width(spark)
-    sources = with_bit(rows, bits, ["id", "text"]).mapInArrow(texts_out, schema)
-    regions = sources.union(lines.select("id", "rid", "runs", "cno").mapInArrow(asked, schema))
-    regions = regions.repartition(width, "id", "salt").sortWithinPartitions("id", "salt", "kind").mapInArrow(cut, "cno long, side int, id long, lo int, words binary, runs array<int>")
-    return regions.repartition(width, "cno").sortWithinPartitions("cno", "side").mapInArrow(compare, "id long, start int, end int, rid long, rstart int, rend int, identity double")
+    sources = rows.withColumn("bit", id_bit()).mapInArrow(tidy(texts_out), schema)
+    regions = sources.union(lines.select("id", "rid", "runs", "cno").mapInArrow(tidy(asked), schema))
+    regions = regions.repartition(width, "id", "salt").sortWithinPartitions("id", "salt", "kind").mapInArrow(tidy(cut), "cno long, side int, id long, lo int, words binary, runs array<int>")
+    return regions.repartition(width, "cno").sortWithinPartitions("cno", "side").mapInArrow(tidy(compare), "id long, start int, end int, rid long, rstart int, rend int, identity double")
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,14 +353,11 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
     ``spans`` should be a written table. Only documents that may have spans are moved to meet them.
     """
     bits = id_filter(spans.select("id"), "id")
-    at = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = docs.columns
-    keyed = docs.withColumn("id", F.col(id_col).cast("long")) if "id" not in names else docs.select(*names, F.col(id_col).cast("long").alias("id"))
-    if "id" in names:
-        raise ValueError("a column of documents may not be called id here")
-    cuts = spans.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))  # at most one span for every few words of a document
-    still = with_bit(keyed, bits, [*names, "id"], keep=False).select(*names)
-    moved = with_bit(keyed, bits, [*names, "id"]).join(cuts, "id", "left").select(*names, "__cuts")
+    key, cuts_col = free_name(names, "key"), free_name(names, "cuts")
+    cuts = spans.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts_col))  # at most one span for every few words of a document
+    still = with_bit(docs, bits, id_col, keep=False)
+    moved = with_bit(docs, bits, id_col, keep=True).withColumn(key, F.col(id_col).cast("long")).join(cuts, key, "left").select(*names, cuts_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,6 +370,8 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
                 words = Words(pa.array([texts[i]]))
                 keep, done = [], 0
                 for s in spans_:
+                    if s["start"] >= len(words):
+                        continue
                     low = int(words.begin[s["start"]])
                     high = int(words.begin[s["end"]]) if s["end"] < len(words) else len(raw)
                     keep.append(raw[done : max(low, done)])
@@ -403,8 +381,8 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
             columns[k] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in at.items())
-    return still.union(moved.mapInArrow(run, schema))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return still.union(moved.mapInArrow(tidy(run), schema))
 
 
 def op6(spark, sf_dir):

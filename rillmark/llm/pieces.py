@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import Words, mix, powers, ragged, table, text_slices
+from rillmark.llm.common import Words, mix, powers, ragged, table, text_slices, tidy
 
 BLANK = np.array([b == 0x20 for b in range(256)])
 META = "▁"
@@ -347,7 +347,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def op9(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import Words, bytes_of, table, text_slices
+from rillmark.llm.common import Words, bytes_of, table, text_slices, tidy
 from rillmark.llm.labelled import fold, training_rows
 
 FIT_ROWS, FOLDS, HELD_OUT, THRESHOLD = 20_000, 4, 2, 0.7
@@ -162,21 +162,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(texts)
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("id")).cast("string"), rows.column(rows.schema.get_field_index("y")), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], ["id", "y", "x"])
 
-    got = sample.select("id", "text", "y").mapInArrow(run, "id string, y int, x array<double>").toArrow().sort_by([("id", "ascending")])
+    got = sample.select("id", "text", "y").mapInArrow(tidy(run), "id string, y int, x array<double>").toArrow().sort_by([("id", "ascending")])
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1, higher for label 1), from each row's whole text alone."""
-    names = [*docs.columns, "quality_score"]
+def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1, higher for label 1), from each row's whole text alone."""
+    names = [*docs.columns, score_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(features(texts)))], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", quality_score double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double"
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:

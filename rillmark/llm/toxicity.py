@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import MARKS, Words, materialize, table, text_slices
+from rillmark.llm.common import MARKS, Words, materialize, table, text_slices, tidy
 from rillmark.llm.labelled import fold, training_rows
 
 POSITIVE_ROWS, UNLABELLED_ROWS, VOCABULARY, MIN_Z, FOLDS, HELD_OUT, THRESHOLD = 4_000, 16_000, 512, 6.0, 5, 0, 0.5
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("same")).take(keep), rows.column(rows.schema.get_field_index("p")).take(keep), pa.array(key)], ["d", "p", "w"])
 
     sample = texts.join(F.broadcast(chosen), "id").select("text", "p", F.xxhash64("text").alias("same"))
-    seen = sample.mapInArrow(run, "d long, p boolean, w long").groupBy("d", "w").agg(F.max("p").alias("p"))
+    seen = sample.mapInArrow(tidy(run), "d long, p boolean, w long").groupBy("d", "w").agg(F.max("p").alias("p"))
     seen = materialize(seen, "toxicity-words")
     size = {r["p"]: r["n"] for r in seen.groupBy("d").agg(F.max("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = size.get(True, 0), size.get(False, 0)
@@ -121,16 +121,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return WordModel(words, weights, bias)
 
 
-def score(docs: DataFrame, model: WordModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity_score`` (0 to 1), from each row's whole text alone."""
-    names = [*docs.columns, "toxicity_score"]
+def score(docs: DataFrame, model: WordModel, text_col: str = "text", score_col: str = "toxicity_score") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1), from each row's whole text alone."""
+    names = [*docs.columns, score_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, text_col):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(texts))], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxicity_score double"
-    return docs.mapInArrow(run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{score_col}` double"
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
