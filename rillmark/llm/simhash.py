@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import Words, local_components, materialize, shuffle_width, text_slices
+from rillmark.llm.common import Words, local_components, materialize, mix, ragged, shuffle_width, text_slices, tidy
 from rillmark.llm.graph import connected_components
 from rillmark.llm.xxh import xxh64
 
@@ -59,10 +59,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
-            hashes, each = shingle_hashes(Words(texts))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(majority_bits(hashes, each).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(majority_bits(*shingle_hashes(Words(texts))).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, fp long")
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -145,7 +144,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS)
             yield found(rest)
 
     width = shuffle_width(nodes.sparkSession)
-    return dealt.repartition(width, "m", "k").sortWithinPartitions("m", "k", "fp").mapInArrow(run, "a long, b long")
+    return dealt.repartition(width, "m", "k").sortWithinPartitions("m", "k", "fp").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
@@ -161,6 +160,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(named, "fp").select("id", "fp", "component")
 
 
+# --- documents of similar content -------------------------------------------------------------------------------
+
+#: Words of a shingle, 64-bit parts of the wide fingerprint, the bits of it that may differ (shingle sets of Jaccard
+#: similarity 0.8 have a cosine of 0.89, an angle of 0.15 pi and so differ in 39 of 256 bits, give or take 6), blocks
+#: of the word fingerprint and how many of them must agree.
+WORDS, PARTS, WIDE_BITS, WORD_BLOCKS, AGREE, FEW = 5, 4, 48, 8, 3, 64
+
+
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(id, fp, w0..w3): a SimHash of each text's distinct words, and a 256-bit SimHash of its shingles of ``words`` words."""
+    names = ["id", "fp", *[f"w{i}" for i in range(PARTS)]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches):
+            found = Words(texts)
+            key = found.hashes()
+            order = np.lexsort((key, found.text))
+            key, text = key[order], found.text[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            out = [majority_bits(key[fresh], np.bincount(text[fresh], minlength=len(texts)))]
+            hashes, each = shingle_hashes(found, words)
+            out += [majority_bits(mix(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)), each) for i in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x.view(np.int64)) for x in out]], names)
+
+    schema = "id long, " + ", ".join(f"{n} long" for n in names[1:])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+def _grow(wide: np.ndarray, most: int) -> np.ndarray:
+    """Components of a run: those near a document leave the rest at once, so a group of n copies costs n steps, not n * n."""
+    label, left = np.arange(len(wide)), np.arange(len(wide))
+    while len(left):
+        seed, left = left[0], left[1:]
+        queue = [seed]
+        while queue and len(left):
+            near = _distance(wide[left], wide[queue.pop()]) <= most
+            label[left[near]] = seed
+            queue += left[near].tolist()
+            left = left[~near]
+    return label
+
+
+def _similar(node: np.ndarray, run_no: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within runs (rows of one run_no stand together)."""
+    begin = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(node)]]))
+    label = np.arange(len(node))
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    rows, end, step = ragged(begin[few], size[few]), np.repeat(begin[few] + size[few], size[few]), 1
+    a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rows):
+        inside = rows + step < end
+        rows, end = rows[inside], end[inside]
+        near = rows[_distance(wide[rows], wide[rows + step]) <= most]
+        a_all.append(near)
+        b_all.append(near + step)
+        step += 1
+    label = local_components(len(node), np.concatenate(a_all), np.concatenate(b_all))
+    for r in np.flatnonzero(size > FEW):
+        part = slice(begin[r], begin[r] + size[r])
+        label[part] = begin[r] + _grow(wide[part], most)
+    far = np.flatnonzero(label != np.arange(len(label)))
+    return node[far], node[label[far]]
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = WIDE_BITS, blocks: int = WORD_BLOCKS, agree: int = AGREE) -> DataFrame:
+    """(id, component) for every row with an id: the smallest id reachable over pairs of similar texts.
+
+    Similar texts have nearly the same words, so their word fingerprints differ in few bits: they meet on every choice
+    of ``agree`` of ``blocks`` blocks that no difference touches (all pairs within blocks - agree bits do, and most
+    somewhat beyond). Pairs that meet are verified by the Hamming distance of their wide fingerprints of shingles.
+    Equal fingerprints collapse first; null and blank texts have fingerprint zero and are each other's copies.
+    """
+    parts = [f"w{i}" for i in range(PARTS)]
+    marks = materialize(profiles(docs, id_col, text_col, words).where("id is not null"), "profiles")
+    nodes = materialize(marks.groupBy("fp", *parts).agg(F.min("id").alias("node")), "profile-nodes")
+    masks = block_masks(blocks, blocks - agree)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
+    # a hash for each choice and its bits: the rare runs that share one only hold more to compare
+    dealt = nodes.select(F.explode(keys).alias("k"), "node", *parts)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _similar(columns[1], columns[0], np.column_stack(columns[2:]).view(np.uint64), most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            other = np.flatnonzero(columns[0] != columns[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield found([x[:cut] for x in columns])
+            rest = [x[cut:] for x in columns]
+        if rest is not None:
+            yield found(rest)
+
+    links = dealt.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
+    roots = connected_components(links)
+    named = nodes.join(roots, "node", "left").select("fp", *parts, F.coalesce("root", "node").alias("component"))
+    return marks.join(named, ["fp", *parts]).select("id", "component")
+
+
 def op8(spark, sf_dir):
     from rillmark.llm.common import table
 

@@ -134,6 +134,34 @@ def test_additive_model_learns_an_interaction():
     assert (0, 1) in m.pairs and np.mean((m.score(x) > 0.5) == y) > 0.9
 
 
+def test_similar_documents(spark):
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    rows, want = [], {}
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(150, 500))]
+        for k in range(4):
+            text = list(base)
+            for _ in range(k and len(text) // 70):  # about one word in 70: a similarity of 0.87 or so
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((4 * g + k, " ".join(text)))
+            want[4 * g + k] = 4 * g
+    many = [rng.choice(words) for _ in range(300)]
+    for k in range(150):
+        text = list(many)
+        text[rng.randrange(300)] = rng.choice(words)
+        rows.append((1000 + k, " ".join(text)))
+        want[1000 + k] = 1000
+    rows += [(2000, None), (2001, ""), (2002, "short text"), (2003, "short text"), (2003, "short text")]
+    want |= {2000: 2000, 2001: 2000, 2002: 2002, 2003: 2002}
+    df = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("fp", F.lit(1))
+    got = simhash.similar_documents(df.repartition(4)).collect()
+    assert len(got) == len(rows)
+    wrong = [r for r in got if r["component"] != want[r["id"]]]
+    assert len(wrong) <= 4 and all(r["component"] // 4 == r["id"] // 4 for r in wrong if r["id"] < 1000)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_stages(spark):
     docs = table(spark, SMALL, "documents").withColumn("id", F.lit("clash")).withColumn("quality_score", F.lit("clash")).withColumn("toxicity_score", F.lit(2))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "simhash", "passages", "packing"]
@@ -151,7 +179,7 @@ def test_stages(spark):
             scores = {r["doc_id"]: r["predicted"] for r in quality.op7(spark, SMALL).collect()}
             assert {r["doc_id"] for r in rows} == {i for i, p in scores.items() if p}
         if name == "simhash":
-            kept = {r["id"] for r in simhash.near_duplicates(before).collect() if r["id"] == r["component"]}
+            kept = {r["id"] for r in simhash.similar_documents(before).collect() if r["id"] == r["component"]}
             assert {r["doc_id"] for r in rows} == kept
         if name == "passages":
             assert len(rows) == len(kept) and all(r["n_chars"] == len(r["text"]) for r in rows)
