@@ -6,6 +6,10 @@ the threshold angle of the half-space nearer to c_j and within (cell radius + th
 exactly those cells, so no link is lost. Cells are split into blocks; members and visitors of a block meet in dense
 double-precision products. Links are counted where they are found; a block emits counts and one edge per vector
 towards the smallest id of its part of the block, never the pairs.
+
+Large groups of copies do not cost the square of their size: vectors within half the threshold angle of one centre are
+all linked with each other. Such balls are found on the sample and made cells of their own, whose inner links are
+counted from their size; only vectors from outside are compared with their members.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import materialize, ragged, shuffle_width, table
+from rillmark.llm.common import materialize, ragged, shuffle_width, table, tidy
 from rillmark.llm.graph import connected_components
 
 THRESHOLD, BLOCK, MAX_CELLS, SAMPLE_NUMBERS, SAMPLE_ROWS = 0.95, 2048, 1024, 4_000_000, 20_000
+MAX_BALLS, BALL_ROWS, DENSE = 256, 8_000, 16
 FAR = np.iinfo(np.int64).max
 
 
@@ -45,14 +50,55 @@ def spherical_kmeans(x: np.ndarray, k: int, turns: int = 8, seed: int = 7) -> np
     return c
 
 
-def visits(x: np.ndarray, centroids: np.ndarray, home: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
-    """Which cells of higher number each vector must visit (rows by cells)."""
-    angle = np.arccos(threshold)
-    dots = x @ centroids.T
-    gap = np.linalg.norm(centroids[home][:, None, :] - centroids[None, :, :], axis=2) if len(x) * centroids.size < 5_000_000 else np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))[home]
-    near = dots[np.arange(len(x)), home][:, None] - dots <= np.sin(angle) * gap + 1e-9
-    near &= np.arccos(np.clip(dots, -1, 1)) <= np.minimum(radius + angle, np.pi)[None, :] + 1e-9
-    return near & (np.arange(len(centroids))[None, :] > home[:, None])
+def dense_centres(x: np.ndarray, threshold: float, dense: int, most: int = MAX_BALLS) -> np.ndarray:
+    """Centres of balls (of half the threshold angle) that hold at least ``dense`` rows of the sample, largest first."""
+    half = np.sqrt((1 + threshold) / 2)
+    count = np.concatenate([(x[i : i + 512] @ x.T >= half).sum(axis=1) for i in range(0, len(x), 512)]) if len(x) else np.zeros(0, int)
+    free, out = np.ones(len(x), bool), []
+    for i in np.argsort(-count, kind="stable"):
+        if count[i] < dense or len(out) == most:
+            break
+        if free[i]:
+            near = x @ x[i] >= half
+            centre = x[near].mean(axis=0)
+            centre /= np.linalg.norm(centre)
+            free &= x @ centre < half
+            out.append(centre)
+    return np.array(out).reshape(-1, x.shape[1])
+
+
+class Cells:
+    """Where a vector is at home: in the first ball that holds it, else with the nearest centroid. Balls come last."""
+
+    def __init__(self, centroids: np.ndarray, balls: np.ndarray, threshold: float):
+        self.centroids, self.balls, self.angle = centroids, balls, float(np.arccos(threshold))
+        self.inside = np.sqrt((1 + threshold) / 2) + 1e-9
+        gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
+        self.reach = np.sin(self.angle) * gap + 1e-6
+
+    def __len__(self) -> int:
+        return len(self.centroids) + len(self.balls)
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each vector, and the cosine with its centre."""
+        dots = x @ self.centroids.T
+        cell, dot = dots.argmax(axis=1), dots.max(axis=1)
+        if len(self.balls):
+            in_ball = x @ self.balls.T
+            held = (in_ball >= self.inside).any(axis=1)
+            ball = (in_ball >= self.inside).argmax(axis=1)
+            cell = np.where(held, len(self.centroids) + ball, cell)
+            dot = np.where(held, in_ball[np.arange(len(x)), ball], dot)
+        return cell, dot
+
+    def visits(self, x: np.ndarray, home: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which cells of higher number each vector must visit (rows by cells): all that may hold a partner of it."""
+        dots = x @ np.vstack([self.centroids, self.balls]).T
+        near = np.arccos(np.clip(dots, -1, 1)) <= np.minimum(radius + self.angle, np.pi)[None, :] + 1e-6
+        plain = dots[:, : len(self.centroids)]
+        first = plain.argmax(axis=1)  # a partner at home in cell j is nearer to c_j than to the vector's nearest centroid
+        near[:, : len(self.centroids)] &= plain[np.arange(len(x)), first][:, None] - plain <= self.reach[first]
+        return near & (np.arange(len(self))[None, :] > home[:, None])
 
 
 def _components(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +118,18 @@ class Block:
         self.threshold, self.x, self.ids, self.copies = threshold, [], [], []
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def join(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, member: bool, rows: int = 512) -> None:
-        """Compares the vectors with all members so far, and among each other if they are members too."""
+    def join(self, x: np.ndarray, ids: np.ndarray, copies: np.ndarray, member: bool, ball: bool, rows: int = 512) -> None:
+        """Compares the vectors with all members so far, and among each other if they are members too; members of a
+        ball are known to be linked and are not compared."""
         for i in range(0, len(ids), rows):
             part = slice(i, i + rows)
             xs, ns, cs = x[part], ids[part], copies[part]
-            for mx, mn, mc in zip(self.x, self.ids, self.copies, strict=True):
-                self._meet(xs @ mx.T >= self.threshold, ns, cs, mn, mc)
+            if not (member and ball):
+                for mx, mn, mc in zip(self.x, self.ids, self.copies, strict=True):
+                    self._meet(xs @ mx.T >= self.threshold, ns, cs, mn, mc)
             if member:
-                self._meet(np.triu(xs @ xs.T >= self.threshold, 1), ns, cs, ns, cs)
+                if not ball:
+                    self._meet(np.triu(xs @ xs.T >= self.threshold, 1), ns, cs, ns, cs)
                 self.x.append(xs)
                 self.ids.append(ns)
                 self.copies.append(cs)
@@ -99,7 +148,7 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in got], ["node", "links", "low"])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, max_cells: int = MAX_CELLS) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, max_cells: int = MAX_CELLS, dense: int = DENSE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row, over all links of cosine >= threshold.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers, and those whose length is not the most
@@ -119,22 +168,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     limit = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))  # a sample of bounded size, whatever the table's
     sample = matrix(nodes.orderBy(F.xxhash64("node")).limit(limit).select("v").toArrow()["v"].combine_chunks())
-    centroids = spherical_kmeans(sample, min(max_cells, -(-count // block)))
+    cells = Cells(spherical_kmeans(sample, min(max_cells, -(-count // block))), dense_centres(sample[:BALL_ROWS], threshold, dense), threshold)
+    n_plain = len(cells.centroids)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                dots = matrix(part.column(0)) @ centroids.T
-                home = dots.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(dots.max(axis=1))], ["v", "node", "copies", "cell", "dot"])
+                home, dot = cells.home(matrix(part.column(0)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(dot)], ["v", "node", "copies", "cell", "dot"])
 
     kind = nodes.schema["v"].dataType.simpleString()
-    homes = materialize(nodes.mapInArrow(assign, f"v {kind}, node long, copies long, cell int, dot double"), "cells")
-    cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("dot").alias("dot")).collect()  # at most max_cells rows
-    blocks, radius = np.zeros(len(centroids), np.int64), np.full(len(centroids), -10.0)
-    for r in cells:
+    homes = materialize(nodes.mapInArrow(tidy(assign), f"v {kind}, node long, copies long, cell int, dot double"), "cells")
+    blocks, radius = np.zeros(len(cells), np.int64), np.full(len(cells), -10.0)
+    inner, lowest = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
+    stats = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("dot").alias("dot"), F.sum("copies").alias("copies"), F.min("node").alias("low"))
+    for r in stats.collect():  # at most max_cells + MAX_BALLS rows
         blocks[r["cell"]], radius[r["cell"]] = -(-r["n"] // block), np.arccos(np.clip(r["dot"], -1, 1))
+        inner[r["cell"]], lowest[r["cell"]] = r["copies"], r["low"]
     base = np.cumsum(blocks) - blocks
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +194,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 part = batch.slice(i, 1024)
                 x, node, home = matrix(part.column(0)), part.column(1).to_numpy(), part.column(3).to_numpy().astype(np.int64)
                 own = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[home]
-                row, cell = np.nonzero(visits(x, centroids, home, radius, threshold))
+                row, cell = np.nonzero(cells.visits(x, home, radius))
                 row, cell = row[blocks[cell] > 0], cell[blocks[cell] > 0]
-                later = blocks[home] - own - 1
+                later = np.where(home < n_plain, blocks[home] - own - 1, 0)
                 unit = np.concatenate([base[home] + own, ragged(base[home] + own + 1, later), ragged(base[cell], blocks[cell])])
                 who = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), later), np.repeat(row, blocks[cell])])
                 take = pa.array(who)
                 yield pa.RecordBatch.from_arrays([pa.array(unit), pa.array(np.arange(len(unit)) >= len(x)), *(part.column(c).take(take) for c in range(3))], ["unit", "visitor", "v", "node", "copies"])
 
-    dealt = homes.mapInArrow(deal, f"unit long, visitor boolean, v {kind}, node long, copies long")
+    dealt = homes.mapInArrow(tidy(deal), f"unit long, visitor boolean, v {kind}, node long, copies long")
+    first_ball = int(base[n_plain]) if len(cells.balls) else int(blocks.sum())
+
+    def within_balls(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, copies, cell = (batch.column(c).to_numpy() for c in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(inner[cell] - copies), pa.array(lowest[cell])], ["node", "links", "low"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Block(threshold)
@@ -164,12 +221,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 if unit[i] != now:
                     now, held = unit[i], Block(threshold)
                 part = batch.slice(i, j - i)
-                held.join(matrix(part.column(2)), part.column(3).to_numpy(), part.column(4).to_numpy(), member=not visitor[i])
+                held.join(matrix(part.column(2)), part.column(3).to_numpy(), part.column(4).to_numpy(), member=not visitor[i], ball=unit[i] >= first_ball)
                 yield held.take()
 
     width = max(shuffle_width(spark), min(int(blocks.sum()), 4096))
-    found = dealt.repartition(width, "unit").sortWithinPartitions("unit", "visitor").mapInArrow(compare, "node long, links long, low long")
-    found = materialize(found, "vector-links")
+    found = dealt.repartition(width, "unit").sortWithinPartitions("unit", "visitor").mapInArrow(tidy(compare), "node long, links long, low long")
+    balls = homes.where(F.col("cell") >= n_plain).select("node", "copies", "cell").mapInArrow(tidy(within_balls), "node long, links long, low long")
+    found = materialize(found.union(balls), "vector-links")
     roots = connected_components(found.where("low != node").select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(links, "node", "left").join(roots, "node", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))

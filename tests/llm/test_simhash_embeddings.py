@@ -105,16 +105,16 @@ def brute(vectors, threshold=0.95):
     return out
 
 
-@pytest.mark.parametrize(("block", "cells"), [(2048, 64), (16, 64), (40, 3)])
-def test_vectors_are_brute_force(spark, block, cells):
+@pytest.mark.parametrize(("block", "cells", "dense"), [(2048, 64, 10**9), (16, 64, 4), (40, 3, 2)])
+def test_vectors_are_brute_force(spark, block, cells, dense):
     rng = np.random.default_rng(2)
     vectors = {i: rng.normal(size=8).tolist() for i in range(150)}
     for g in range(12):
         c = rng.normal(size=8)
-        vectors |= {1000 + 20 * g + j: (c + 0.12 * rng.normal(size=8)).tolist() for j in range(15)}
+        vectors |= {1000 + 20 * g + j: (c + (0.04, 0.12, 0.3)[g % 3] * rng.normal(size=8)).tolist() for j in range(15)}
     vectors |= {2000: None, 2001: [], 2002: [0.0] * 8, 2003: [float("nan")] + [1.0] * 7, 2004: [None] + [1.0] * 7, 2005: [float("inf")] * 8, 2006: [1.0, 2.0], 2007: [1.0, 2.0], 2008: vectors[3], 2009: [10 * x for x in vectors[3]], 2010: [1e-200] * 8, 2011: [1e200] * 8}
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").withColumn("node", F.lit("clash")).withColumn("v", F.lit(0))
-    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df.repartition(3), block=block, max_cells=cells).collect()}
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df.repartition(3), block=block, max_cells=cells, dense=dense).collect()}
     assert got == brute(vectors)
 
 
