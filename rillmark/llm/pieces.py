@@ -25,6 +25,7 @@ from rillmark.llm.common import Words, mix, powers, ragged, table, text_slices,
 
 BLANK = np.array([b == 0x20 for b in range(256)])
 META = "▁"
+KEPT = 300_000
 LONG = 48  # longer words are cut where no piece can cross
 
 
@@ -49,6 +50,7 @@ class PieceModel:
             raise ValueError("only models with the identity normaliser, a dummy prefix and byte fallback are handled")
         self.library = SentencePieceProcessor(model_file=path)
         self.bpe = spec.trainer_spec.model_type == 2
+        self.known_words, self.known_ids, self.known_at = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(1, np.int64)
         kinds, texts = np.array([p.type for p in spec.pieces]), [p.piece for p in spec.pieces]
         self.byte_ids = np.full(256, -1)
         for i in np.flatnonzero(kinds == 6):
@@ -239,6 +241,25 @@ class PieceModel:
         count = np.bincount(np.array(owner, np.int64), minlength=len(words)) if owner else np.zeros(len(words), np.int64)
         return ids[ragged(at[:-1][number], size)], ends[np.concatenate([[0], np.cumsum(count)])]
 
+    def encode_known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words (without blanks), and where each word's begin. The first ``KEPT`` words that a
+        worker meets stay known to it, so frequent ones are encoded once."""
+        at = pc.index_in(words, value_set=self.known_words)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        ids, ends = self.encode_words([META + w for w in words.take(pa.array(new)).to_pylist()])
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if len(self.known_words):
+            old = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin, size = self.known_at[:-1][old], np.diff(self.known_at)[old]
+        begin[new], size[new] = len(self.known_ids) + ends[:-1], np.diff(ends)
+        out = np.concatenate([self.known_ids, ids])[ragged(begin, size)]
+        more = min(KEPT - len(self.known_words), len(new))
+        if more > 0:
+            self.known_words = pa.concat_arrays([self.known_words, words.take(pa.array(new[:more]))])
+            self.known_at = np.concatenate([self.known_at, len(self.known_ids) + ends[1 : more + 1]])
+            self.known_ids = np.concatenate([self.known_ids, ids[: ends[more]]])
+        return out, np.concatenate([[0], np.cumsum(size)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a slice, and where each text's begin (with the end as last)."""
         texts = pc.replace_substring(texts, META, " ")
@@ -255,7 +276,7 @@ class PieceModel:
         tail = words.first[1:][final] - 1
         after[final] = size_bytes[final] - words.begin[tail] - words.length[tail]
         number, known = words.distinct() if len(words) else (np.zeros(0, np.int64), pa.array([], pa.string()))
-        ids, at = self.encode_words([META + w for w in known.to_pylist()])
+        ids, at = self.encode_known(known)
         bare = (at[1:] > at[:-1]) & (ids[np.minimum(at[:-1], max(len(ids) - 1, 0))] == self.blanks[1]) if len(ids) else np.zeros(len(known), bool)
         run = np.where(bare[number], before, before - 1) if len(words) else before
         longest = np.unique(np.concatenate([run, after]))
