@@ -12,10 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import Words, local_components, materialize, mix, ragged, shuffle_width, text_slices, tidy
+from rillmark.llm.common import Words, id_bit, id_filter, local_components, materialize, mix, ragged, shuffle_width, text_slices, tidy
 from rillmark.llm.graph import connected_components
 from rillmark.llm.xxh import xxh64
 
@@ -162,116 +162,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- documents of similar content -------------------------------------------------------------------------------
 
-#: Words of a shingle, 64-bit parts of the wide fingerprint, the bits of it that may differ (shingle sets of Jaccard
-#: similarity 0.8 have a cosine of 0.89, an angle of 0.15 pi and so differ in 39 of 256 bits, give or take 6), blocks
-#: of the word fingerprint and how many of them must agree.
-WORDS, PARTS, WIDE_BITS, WORD_BLOCKS, AGREE, FEW = 5, 4, 48, 8, 3, 64
+#: Words of a shingle; bands of equal minima of the shingle set and minima of a band: a pair of Jaccard similarity s
+#: meets in none with probability (1 - s ** ROWS) ** BANDS, which is 0.0008 at 0.8; bytes kept of a shingle's hash;
+#: runs of up to FEW sets are compared pair by pair, all at once.
+WORDS, BANDS, ROWS, KEPT, FEW = 5, 10, 3, 5, 6
+KEPT_BITS = np.uint64(8 * KEPT)
+ODD = np.random.default_rng(20240307).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, fp, w0..w3): a SimHash of each text's distinct words, and a 256-bit SimHash of its shingles of ``words`` words."""
-    names = ["id", "fp", *[f"w{i}" for i in range(PARTS)]]
+def shingle_sets(words: Words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text of a slice, as 40-bit hashes in order, and how many each text has."""
+    hashes, each = shingle_hashes(words, size)
+    owner = np.repeat(np.arange(len(each), dtype=np.uint64), each)
+    flat = np.unique(owner << KEPT_BITS | hashes >> (np.uint64(64) - KEPT_BITS))
+    return flat & ((np.uint64(1) << KEPT_BITS) - np.uint64(1)), np.bincount((flat >> KEPT_BITS).astype(np.int64), minlength=len(each))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches):
-            found = Words(texts)
-            key = found.hashes()
-            order = np.lexsort((key, found.text))
-            key, text = key[order], found.text[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            out = [majority_bits(key[fresh], np.bincount(text[fresh], minlength=len(texts)))]
-            hashes, each = shingle_hashes(found, words)
-            out += [majority_bits(mix(hashes + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)), each) for i in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x.view(np.int64)) for x in out]], names)
 
-    schema = "id long, " + ", ".join(f"{n} long" for n in names[1:])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
+def set_marks(values: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
+    """For each set two sums that tell it from others, then its band keys; zeros for an empty set."""
+    out = [np.zeros(len(each), np.uint64) for _ in range(2 + BANDS)]
+    full = np.flatnonzero(each)
+    if not len(full):
+        return out
+    begin = (np.cumsum(each) - each)[full]
+    for i in range(2):
+        out[i][full] = np.add.reduceat(mix(values + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)), begin)
+    mixed = mix(values)
+    for i in range(BANDS):
+        key = np.full(len(full), i, np.uint64)
+        for odd in ODD[i * ROWS : (i + 1) * ROWS]:
+            key = mix(key + np.minimum.reduceat(mixed * odd, begin))
+        out[2 + i][full] = key
+    return out
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
+def _alike(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b members with so many in common have a Jaccard similarity of 0.8 (in whole numbers)."""
+    return 9 * common >= 4 * (a + b)
 
 
-def _grow(wide: np.ndarray, most: int) -> np.ndarray:
-    """Components of a run: those near a document leave the rest at once, so a group of n copies costs n steps, not n * n."""
-    label, left = np.arange(len(wide)), np.arange(len(wide))
+def _grow(values: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Components of a run: those similar to a set leave the rest at once, so a group of n copies costs n steps, not n * n."""
+    label, left = np.arange(len(each)), np.arange(len(each))
+    known, number = np.unique(values, return_inverse=True)
+    begin, mark = np.cumsum(each) - each, np.zeros(len(known), bool)
+    rest = number
     while len(left):
-        seed, left = left[0], left[1:]
+        seed, left, rest = left[0], left[1:], rest[each[left[0]] :]
         queue = [seed]
         while queue and len(left):
-            near = _distance(wide[left], wide[queue.pop()]) <= most
-            label[left[near]] = seed
-            queue += left[near].tolist()
-            left = left[~near]
+            now = queue.pop()
+            own = number[begin[now] : begin[now] + each[now]]
+            mark[own] = True
+            common = np.add.reduceat(mark[rest], np.cumsum(each[left]) - each[left], dtype=np.int64)
+            mark[own] = False
+            near = _alike(common, each[now], each[left])
+            if near.any():
+                label[left[near]] = seed
+                queue += left[near].tolist()
+                rest, left = rest[np.repeat(~near, each[left])], left[~near]
     return label
 
 
-def _similar(node: np.ndarray, run_no: np.ndarray, wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within runs (rows of one run_no stand together)."""
+def _similar(node: np.ndarray, run_no: np.ndarray, values: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within runs (rows of one run_no stand together); no set is empty."""
     begin = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
     size = np.diff(np.concatenate([begin, [len(node)]]))
-    label = np.arange(len(node))
+    first = np.cumsum(each) - each
     few = np.flatnonzero((size > 1) & (size <= FEW))
     rows, end, step = ragged(begin[few], size[few]), np.repeat(begin[few] + size[few], size[few]), 1
     a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(rows):
         inside = rows + step < end
         rows, end = rows[inside], end[inside]
-        near = rows[_distance(wide[rows], wide[rows + step]) <= most]
-        a_all.append(near)
-        b_all.append(near + step)
+        a, b = rows, rows + step
+        some = _alike(np.minimum(each[a], each[b]), each[a], each[b])
+        a, b = a[some], b[some]
+        pair = np.arange(len(a), dtype=np.uint64) << KEPT_BITS
+        both = np.sort(np.concatenate([np.repeat(pair, each[x]) | values[ragged(first[x], each[x])] for x in (a, b)]))
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> KEPT_BITS).astype(np.int64), minlength=len(a))
+        near = _alike(common, each[a], each[b])
+        a_all.append(a[near])
+        b_all.append(b[near])
         step += 1
     label = local_components(len(node), np.concatenate(a_all), np.concatenate(b_all))
     for r in np.flatnonzero(size > FEW):
-        part = slice(begin[r], begin[r] + size[r])
-        label[part] = begin[r] + _grow(wide[part], most)
+        i, j = begin[r], begin[r] + size[r]
+        label[i:j] = i + _grow(values[first[i] : first[j - 1] + each[j - 1]], each[i:j])
     far = np.flatnonzero(label != np.arange(len(label)))
     return node[far], node[label[far]]
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = WIDE_BITS, blocks: int = WORD_BLOCKS, agree: int = AGREE) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, component) for every row with an id: the smallest id reachable over pairs of similar texts.
 
-    Similar texts have nearly the same words, so their word fingerprints differ in few bits: they meet on every choice
-    of ``agree`` of ``blocks`` blocks that no difference touches (all pairs within blocks - agree bits do, and most
-    somewhat beyond). Pairs that meet are verified by the Hamming distance of their wide fingerprints of shingles.
-    Equal fingerprints collapse first; null and blank texts have fingerprint zero and are each other's copies.
+    Texts are similar if the sets of their shingles of ``words`` words have a Jaccard similarity of 0.8 or more. Equal
+    sets collapse first. Sets meet where all minima of a band are equal, which depends on their similarity alone, not
+    on where or how a text was changed; of pairs of 0.8 one in 1,300 meets in no band, and fewer above. The sets that
+    meet are fetched and compared whole (as 40-bit hashes), so that links are exact. A text shorter than a shingle is
+    one shingle; null and blank texts are each other's copies.
     """
-    parts = [f"w{i}" for i in range(PARTS)]
-    marks = materialize(profiles(docs, id_col, text_col, words).where("id is not null"), "profiles")
-    nodes = materialize(marks.groupBy("fp", *parts).agg(F.min("id").alias("node")), "profile-nodes")
-    masks = block_masks(blocks, blocks - agree)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
-    # a hash for each choice and its bits: the rare runs that share one only hold more to compare
-    dealt = nodes.select(F.explode(keys).alias("k"), "node", *parts)
+    sums, bands = ["d0", "d1"], [f"k{i}" for i in range(BANDS)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, slice_ in text_slices(batches):
+            out = set_marks(*shingle_sets(Words(slice_), words))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x.view(np.int64)) for x in out]], ["id", *sums, *bands])
+
+    marks = materialize(texts.mapInArrow(tidy(marked), "id long, " + ", ".join(f"{n} long" for n in [*sums, *bands])), "profiles")
+    nodes = materialize(marks.groupBy(*sums).agg(F.min("id").alias("node"), *[F.min(k).alias(k) for k in bands]), "profile-nodes")
+    dealt = nodes.where("d0 != 0 or d1 != 0").select(F.explode(F.array(*bands)).alias("k"), "node", *sums)
+    met = dealt.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
+    met = materialize(met.groupBy("node", *sums).agg(F.collect_list("k").alias("ks")), "profile-met")  # at most BANDS keys
+    bits = id_filter(met, "node")
+
+    def fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, slice_ in text_slices(batches):
+            bit = rows.column(2).to_numpy()
+            some = pa.array(np.flatnonzero((bits[bit // 64] >> (bit % 64)) & 1))
+            values, each = shingle_sets(Words(slice_.take(some)), words)
+            tell = set_marks(values, each)[:2]
+            at = np.concatenate([[0], np.cumsum(each)]) * KEPT
+            data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT])
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(some), *[pa.array(x.view(np.int64)) for x in tell], packed], ["id", *sums, "packed"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _similar(columns[1], columns[0], np.column_stack(columns[2:]).view(np.uint64), most)
+        rest: list[pa.RecordBatch] = []
+
+        def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            key, node = (rows.column(i).to_numpy() for i in (0, 1))
+            sets = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column(2)]
+            each = np.array([len(x) // KEPT for x in sets])
+            wide = np.zeros((int(each.sum()), 8), np.uint8)
+            wide[:, :KEPT] = np.concatenate(sets).reshape(-1, KEPT)
+            a, b = _similar(node, key, wide.view("<u8").reshape(-1), each)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            other = np.flatnonzero(columns[0] != columns[0][-1])
+            key = batch.column(0).to_numpy()
+            other = np.flatnonzero(key != key[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield found([x[:cut] for x in columns])
-            rest = [x[cut:] for x in columns]
-        if rest is not None:
+            if cut or rest and rest[-1].column(0)[-1].as_py() != key[-1]:  # the last run may go on in the next batch
+                yield found([*rest, batch.slice(0, cut)])
+                rest = []
+            rest.append(batch.slice(cut))
+        if rest:
             yield found(rest)
 
-    links = dealt.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
+    sets = texts.withColumn("bit", id_bit()).mapInArrow(tidy(fetched), "id long, d0 long, d1 long, packed binary")
+    held = met.join(sets.withColumnRenamed("id", "node"), ["node", *sums]).select(F.explode("ks").alias("k"), "node", "packed")
+    links = held.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(links)
-    named = nodes.join(roots, "node", "left").select("fp", *parts, F.coalesce("root", "node").alias("component"))
-    return marks.join(named, ["fp", *parts]).select("id", "component")
+    named = nodes.join(roots, "node", "left").select(*sums, F.coalesce("root", "node").alias("component"))
+    return marks.join(named, sums).select("id", "component")
 
 
 def op8(spark, sf_dir):

@@ -91,6 +91,54 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def edited(rng, base, kind, share):
+    """A copy of a list of words with about this share of it changed in one way."""
+    n = max(1, round(share * len(base)))
+    fresh = [f"n{rng.integers(10**9)}" for _ in range(n)]
+    at = int(rng.integers(0, len(base) - n + 1))
+    if kind == "scattered":
+        out = list(base)
+        for i in rng.choice(len(base), max(1, n // 5), replace=False):
+            out[i] = f"n{rng.integers(10**9)}"
+        return out
+    return {"cut": base[: len(base) - n], "appended": base + fresh, "block": base[:at] + fresh + base[at + n :]}[kind]
+
+
+def test_similar_documents_are_brute_force(spark):
+    """Copies of a similarity about 0.8, cut, appended to, with a block replaced or words scattered: links of all kinds."""
+    rng = np.random.default_rng(21)
+    shares = {"cut": (0.14, 0.24), "appended": (0.18, 0.3), "block": (0.07, 0.13), "scattered": (0.08, 0.14)}
+    texts, kinds = {}, {}
+    for g in range(400):
+        kind = list(shares)[g % 4]
+        base = [f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(120, 500))) % 5000]
+        texts[2 * g], texts[2 * g + 1], kinds[g] = base, edited(rng, base, kind, rng.uniform(*shares[kind])), kind
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    near = {g: len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) >= 0.8 for g in kinds}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(df.repartition(4)).collect()}
+    assert all(got[2 * g] == 2 * g for g in kinds)
+    for kind in shares:
+        of = [g for g in kinds if kinds[g] == kind]
+        assert 20 <= sum(near[g] for g in of) <= 80
+        assert not [g for g in of if not near[g] and got[2 * g + 1] != 2 * g + 1]
+        assert sum(near[g] and got[2 * g + 1] != 2 * g for g in of) <= 1
+
+
+def test_similar_runs_are_brute_force():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**40, 60)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.choice(s, len(s) - rng.integers(0, 8), replace=False), rng.integers(0, 2**40, rng.integers(1, 8))])) for s in sets for _ in range(12)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    values, each = np.concatenate(sets).astype(np.uint64), np.array([len(s) for s in sets])
+    for size in (2, 5, 12, 72):
+        run_no = np.arange(72) // size
+        links = [(i, j) for i in range(72) for j in range(i) if run_no[i] == run_no[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        a, b = simhash._similar(np.arange(72), run_no, values, each)
+        want = components(range(72), links)
+        assert components(range(72), list(zip(a.tolist(), b.tolist(), strict=True))) == want and len(a) == 72 - len(set(want.values()))
+
+
 def brute(vectors, threshold=0.95):
     out = {}
     good = {i: np.array(v, float) for i, v in vectors.items() if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
