@@ -235,7 +235,9 @@ def _stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def align(runs: np.ndarray, a: np.ndarray, a_from: int, b: np.ndarray, b_from: int, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, rstart, rend, identity) of a chain's passages; a, b: word hashes from a_from and b_from on."""
+    """(start, end, rstart, rend, identity) of a chain's passages; a, b: word hashes from a_from and b_from on.
+
+    Where the whole chain is no passage, stretches of its consecutive runs are: the longest first."""
     runs = runs.reshape(-1, 3)
     equal, gaps = [], []
     for k, (i, j, n) in enumerate(runs.tolist()):
@@ -244,19 +246,31 @@ def align(runs: np.ndarray, a: np.ndarray, a_from: int, b: np.ndarray, b_from: i
             i2, j2, _ = runs[k + 1].tolist()
             gaps.append(_common(a[i + n - a_from : i2 - a_from], b[j + n - b_from : j2 - b_from]))
 
-    def passage(lo: int, hi: int) -> tuple[int, int, int, int, float] | None:
-        i, j, _ = runs[lo].tolist()
-        i2, j2, n2 = runs[hi].tolist()
-        left, more = _stretch(a[: i - a_from][::-1], b[: j - b_from][::-1])
-        right, more2 = _stretch(a[i2 + n2 - a_from :], b[j2 + n2 - b_from :])
-        start, end, rstart, rend = i - left, i2 + n2 + right, j - left, j2 + n2 + right
-        share = (sum(equal[lo : hi + 1]) + sum(gaps[lo:hi]) + more + more2) / max(end - start, rend - rstart)
-        return (start, end, rstart, rend, share) if min(end - start, rend - rstart) >= min_words and share >= identity else None
-
-    whole = passage(0, len(runs) - 1)
-    if whole or len(runs) == 1:
-        return [whole] if whole else []
-    return [p for p in (passage(k, k) for k in range(len(runs))) if p]
+    i, j, n = runs.T.astype(np.int64)
+    left = np.array([_stretch(a[: x - a_from][::-1], b[: y - b_from][::-1]) for x, y in zip(i, j, strict=True)])
+    right = np.array([_stretch(a[x - a_from :], b[y - b_from :]) for x, y in zip(i + n, j + n, strict=True)])
+    start, rstart, end, rend = i - left[:, 0], j - left[:, 0], i + n + right[:, 0], j + n + right[:, 0]
+    inner = np.concatenate([[0], np.cumsum(np.array(equal[:-1], np.int64) + np.array(gaps, np.int64))])  # up to where each run begins
+    out, parts = [], [(0, len(runs) - 1)]
+    while parts:  # the longest stretch of runs that passes, then what is left before and after it
+        lo, hi = parts.pop()
+        best, most = None, 0
+        for x in range(lo, hi + 1):
+            most_left = int(max((end[x : hi + 1] - start[x]).max(), (rend[x : hi + 1] - rstart[x]).max()))
+            if most_left <= most:
+                continue
+            own, theirs = end[x : hi + 1] - start[x], rend[x : hi + 1] - rstart[x]
+            share = (inner[x : hi + 1] - inner[x] + np.array(equal[x : hi + 1]) + left[x, 1] + right[x : hi + 1, 1]) / np.maximum(own, theirs)
+            good = np.flatnonzero((np.minimum(own, theirs) >= min_words) & (share >= identity))
+            if len(good):
+                y = int(good[own[good].argmax()])
+                if own[y] > most:
+                    best, most = (x, x + y, float(share[y])), int(own[y])
+        if best:
+            x, y, share = best
+            out.append((int(start[x]), int(end[y]), int(rstart[x]), int(rend[y]), share))
+            parts += [part for part in ((lo, x - 1), (y + 1, hi)) if part[0] <= part[1]]
+    return sorted(out)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:

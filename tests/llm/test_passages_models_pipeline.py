@@ -95,6 +95,19 @@ def test_chain_is_the_best_chain():
         assert abs(max(worth(line) for line in lines) - best) < 1e-9
 
 
+def test_stretches_of_a_chain_are_tried():
+    """Two passages, one with four words put in, on one chain across unrelated words: both are reported."""
+    rng = np.random.default_rng(3)
+    word = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    for gap in (30, 40, 50, 60):
+        first, second = word(60), word(60)
+        a = np.concatenate([word(50), first, word(gap), second, word(50)])
+        b = np.concatenate([word(50), first[:30], word(4), first[30:], word(gap), second, word(50)])
+        runs = np.array([[50, 50, 30], [80, 84, 30], [110 + gap, 114 + gap, 60]])
+        got = [x[:4] for x in passages.align(runs.reshape(-1), a, 0, b, 0)]
+        assert got == [(50, 110, 50, 114), (110 + gap, 170 + gap, 114 + gap, 174 + gap)]
+
+
 def test_quality_on_held_out_rows(spark):
     got = {r["doc_id"]: r for r in quality.op7(spark, MIDDLE).collect()}
     labels = {r["doc_id"]: r["quality"] for r in table(spark, MIDDLE, "labels").collect()}
