@@ -4,7 +4,7 @@
    share hold a common one.
 2. Seeds meet by hash; each occurrence is matched with the first one (smallest id, then place), so a seed that a
    third of all documents holds gives one match per occurrence, not one per pair. Within a slice of texts a frequent
-   seed is matched with the slice's own first occurrence and only that one travels on.
+   seed is matched with the slice's own first occurrence and only those of that first document travel on.
 3. The matches of a document with one earlier document are joined into runs on a diagonal, and runs are chained in
    order of both texts with costs for gaps, best predecessors coming from a Fenwick tree of prefix maxima.
 4. Both sides of each chain are fetched and aligned word by word; a chain counts if it spans enough words with
@@ -68,8 +68,8 @@ def seed_rows(docs: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([start, [len(seed)]]))
             head = np.repeat(start, size)
-            local = (np.repeat(size, size) >= FREQUENT) & (np.arange(len(seed)) != head)
-            met = np.flatnonzero(local & (ids != ids[head]))
+            local = (np.repeat(size, size) >= FREQUENT) & (ids != ids[head])  # all of the first holder's own travel on
+            met = np.flatnonzero(local)
             rest = np.flatnonzero(~local)
             null = pa.nulls(len(rest), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(seed[rest].view(np.int64)), pa.array(np.ones(len(rest), np.int32)), pa.array(ids[rest]), pa.array(pos[rest].astype(np.int32)), null, null.cast("int32")], names)

@@ -95,6 +95,22 @@ def test_chain_is_the_best_chain():
         assert abs(max(worth(line) for line in lines) - best) < 1e-9
 
 
+def test_first_holders_other_copies_travel(spark):
+    """A passage stands in an earlier slice, twice in the first holder of a later one, and in two more texts there."""
+    rng = random.Random(15)
+    words = vocabulary(rng)
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    passage = text(70)
+    docs = {1: text(40) + passage + text(40), 5: text(60) + passage + text(90) + passage + text(60)}
+    docs |= {i: text(30) + passage + text(30) for i in (6, 7)} | {i: text(50) for i in (2, 3, 4, 8)}
+    rows = spark.sparkContext.parallelize([(i, " ".join(docs[i])) for i in sorted(docs)], 2)  # documents 1-4 and 5-8
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = [(r["start"], r["end"]) for r in got if r["id"] == 5 and r["rid"] == 1]
+    for at in (60, 220):
+        assert any(start <= at and end >= at + 70 for start, end in spans)
+    assert {r["id"] for r in got} == {5, 6, 7}
+
+
 def test_stretches_of_a_chain_are_tried():
     """Two passages, one with four words put in, on one chain across unrelated words: both are reported."""
     rng = np.random.default_rng(3)
