@@ -67,8 +67,22 @@ class Sketch:
         return (self.table if table is None else table).groupBy(*self.keys)
 
 
-def key_names(by: Sequence[str] | str | None) -> tuple[str, ...]:
-    return (by,) if isinstance(by, str) else tuple(by or ())
+def key_names(by: Sequence[str] | str | None, taken: Sequence[str] = ()) -> tuple[str, ...]:
+    """The names of key columns; those in ``taken`` are the sketch's own columns, and names with two underscores its helpers'."""
+    keys = (by,) if isinstance(by, str) else tuple(by or ())
+    for k in keys:
+        if k.lower() in taken or k.startswith("__"):
+            raise ValueError(f"a key cannot be called {k!r}: the sketch has a column of that name; rename the key")
+    return keys
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where all keys are equal; a null key equals a null key."""
+    named = right.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    if not keys:
+        return left.crossJoin(F.broadcast(named))  # only for a right side of one row
+    on = [left[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(keys)]
+    return left.join(named, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def as_column(item: str | Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -15,11 +16,14 @@ def fold_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     """(keys, schema): for each key ``start()``, then ``step(state, rows)`` over its ``values`` in ``order``, then ``finish(state)``.
 
     Keys are dealt out by hash and sorted by the engine (which spills); a key's rows pass through one task as a stream.
+    The hash is dealt out as it is: a shuffle on the keys themselves would be left out after a join or window on them,
+    and adaptive execution is free to split the join's partitions, and with them the keys.
     """
     keys, order, values = list(keys), list(order), list(values)
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select(*keys, *order, *values)
-    ordered = (ordered.repartition(width, *keys) if keys else ordered.repartition(1)).sortWithinPartitions(*keys, *order).select(*keys, *values)
+    ordered = rows.select(*keys, *dict.fromkeys([*order, *values]))
+    ordered = ordered.repartitionById(width, F.pmod(F.xxhash64(*keys), F.lit(width)).cast("int")) if keys else ordered.repartition(1)
+    ordered = ordered.sortWithinPartitions(*keys, *order).select(*keys, *values)
     out_schema = StructType(([rows.schema[k] for k in keys]) + list(_parse_datatype_string(schema).fields))
     arrow = to_arrow_schema(out_schema)
 

@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.operators.core import MergeError, Sketch, as_column, key_names
+from rillmark.operators.core import MergeError, Sketch, as_column, key_names, match
 from rillmark.operators.folds import fold_groups
 
+#: Cells per power of two in which values are counted before they are ranked.
+CELLS = 2048
 CENTROIDS = "pos int, mean double, weight long"
 EXTENT = "total long, low double, high double"
 
@@ -45,6 +47,19 @@ def compress(mean: np.ndarray, weight: np.ndarray, compression: float) -> tuple[
     return np.array(out_mean), np.array(out_weight, np.int64)
 
 
+def centroid_ends(total: int, compression: float) -> np.ndarray:
+    """Up to which rank each centroid of ``total`` single values in order goes, greedily: as far as the scale rises by 1."""
+    out, at = [], 0
+    while at < total:
+        q = math.asin(max(min(2.0 * at / total - 1, 1.0), -1.0)) / math.pi + 0.5
+        if q * compression + 1 >= compression:
+            at = total
+        else:
+            at = max(at + 1, math.floor(total * (math.sin(math.pi * (q + 1 / compression - 0.5)) + 1) / 2))
+        out.append(at)
+    return np.array(out, np.int64)
+
+
 class _Stream:
     """Sorted values or centroids of one key, compressed as they pass: holds one chunk and the finished centroids."""
 
@@ -95,31 +110,67 @@ class TDigest(Sketch):
     compression: float
 
     KIND = "t-digest"
+    COLUMNS = ("pos", "mean", "weight", "total", "low", "high", "num_centroids", "n_values", "min", "max", "r0", "v0", "r1", "v1", "final", "t", "q", "v", "value", "rank", "median")
 
     @classmethod
     def build(cls, df: DataFrame, value: str | Column, compression: float = 100.0, by=None, mode: str = "sorted") -> TDigest:
         """NaN and null are no values.
 
-        mode="sorted": one greedy pass over each key's sorted values (sorted and spilled by the engine, streamed).
-        mode="partial": a digest per partition, then one compression of all of them per key: no sort and no shuffle
-        of values, for keys that hold a large share of the rows."""
+        mode="sorted": the greedy digest of all values in order. Single values end their centroids at ranks that depend
+        on their number alone, so values are first counted in cells of nearly equal values; a cell that lies within one
+        centroid gives its sum, and only the values of cells with a centroid's end inside are ranked, cell by cell.
+        No key's values pass through one task, and nothing is sorted but those cells' distinct values.
+        mode="partial": a digest per partition, then one compression of all of them per key."""
         if not (math.isfinite(compression) and compression > 0):
             raise ValueError("compression must be finite and positive")
         if mode not in ("sorted", "partial"):
             raise ValueError("mode must be sorted or partial")
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         v = as_column(value).cast("double")
         rows = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
         if mode == "partial":
             return cls(cls._partial(rows, keys, compression), keys, compression)._compressed()
-        extent = rows.groupBy(*keys).agg(F.count("*").alias("total"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-        wide = rows.crossJoin(F.broadcast(extent)) if not keys else rows.join(extent, [*keys])  # without keys the extent is one row
-        schema = f"{CENTROIDS}, {EXTENT}"
+        return cls(cls._ranked(rows, keys, compression), keys, compression)
 
-        def step(state: _Stream, batch: pa.RecordBatch) -> None:
-            state.advance(batch.column(0).to_numpy(), np.ones(batch.num_rows, np.int64), _extent(batch))
-
-        return cls(fold_groups(wide, keys, ["__v"], ["__v", "total", "low", "high"], lambda: _Stream(compression), step, _Stream.rows, schema), keys, compression)
+    @staticmethod
+    def _ranked(rows: DataFrame, keys: tuple[str, ...], compression: float) -> DataFrame:
+        v = F.col("__v")
+        steep = F.floor((F.log2(F.abs(v)) + 1100) * CELLS)  # rises with the size of v
+        cell = F.when(v > 0, steep).when(v < 0, -steep).otherwise(0).alias("__cell")
+        rows = rows.select(*keys, cell, "__v")
+        cells = rows.groupBy(*keys, "__cell").agg(F.count("*").alias("__n"), F.sum("__v").alias("__s"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        whole = Window.partitionBy(*keys)  # the cells of a key: some thousands per power of two at most
+        cells = cells.select(*keys, "__cell", "__n", "__s", F.sum("__n").over(whole).alias("total"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"))
+        extent = ["total", "low", "high"]
+
+        def step(state: list, batch: pa.RecordBatch) -> None:
+            state += batch.to_pylist()
+
+        def finish(found: list) -> dict[str, list]:
+            stops = centroid_ends(found[0]["total"], compression)
+            out: dict[str, list] = {c: [r[c] for r in found] for c in ("__cell", "__n", "__s", *extent)}
+            ends = np.cumsum(out["__n"])
+            before = ends - out["__n"]
+            pos, last = np.searchsorted(stops, before, side="right"), np.searchsorted(stops, ends, side="left")
+            return out | {"__before": before, "pos": pos, "__cuts": [stops[i:j].tolist() for i, j in zip(pos.tolist(), last.tolist(), strict=True)]}
+
+        schema = "__cell long, __n long, __s double, total long, low double, high double, __before long, pos int, __cuts array<long>"
+        placed = fold_groups(cells, keys, ["__cell"], ["__cell", "__n", "__s", *extent], list, step, finish, schema)
+        inner = placed.where(F.size("__cuts") == 0).select(*keys, "pos", F.col("__n").alias("weight"), "__s", "low", "high", "total", *[F.lit(None).cast("double").alias(c) for c in ("__least", "__most")])
+        cut = placed.where(F.size("__cuts") > 0).select(*keys, "__cell", "__before", "pos", "__cuts", *extent)
+        met = match(rows, cut, (*keys, "__cell"))
+        same = met.groupBy(*keys, "__cell", "__v").agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in ("__before", "pos", "__cuts", *extent)])
+        along = Window.partitionBy(*keys, "__cell").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        same = same.withColumn("__to", F.col("__before") + F.sum("__n").over(along)).withColumn("__from", F.col("__to") - F.col("__n"))
+        within = F.filter("__cuts", lambda x: (x > F.col("__from")) & (x < F.col("__to")))
+        bounds = F.concat(F.array("__from"), within, F.array("__to"))
+        parts = F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), lambda i: F.struct((F.element_at(bounds, i + 1) - F.element_at(bounds, i)).alias("w"), F.size(F.filter("__cuts", lambda x: x <= F.element_at(bounds, i))).alias("p")))
+        split = same.withColumn("__part", F.explode(parts))
+        split = split.select(*keys, (F.col("pos") + F.col("__part.p")).alias("pos"), F.col("__part.w").alias("weight"), (F.col("__v") * F.col("__part.w")).alias("__s"), "low", "high", "total", F.col("__v").alias("__least"), F.col("__v").alias("__most"))
+        # a centroid of equal values is that value; sums that overflow are infinite, as are sums of infinite values
+        least, most = F.min("__least"), F.max("__most")
+        mean = F.when((F.count("__least") == F.count("*")) & (least == most), least).otherwise(F.sum("__s") / F.sum("weight"))
+        return inner.unionByName(split).groupBy(*keys, "pos").agg(mean.alias("mean"), F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in extent])
 
     @staticmethod
     def _partial(rows: DataFrame, keys: tuple[str, ...], compression: float, chunk: int = 1 << 16) -> DataFrame:
@@ -172,9 +223,8 @@ class TDigest(Sketch):
     def _combine(self, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         """All centroids of a key in order of their means, compressed once; extents and totals combine."""
         compression = self.compression
-        extent = table.where("pos = 0").groupBy(*keys).agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
-        names = ["mean", "weight"]
-        wide = table.select(*keys, *names).crossJoin(F.broadcast(extent)) if not keys else table.select(*keys, *names).join(extent, [*keys])
+        whole = Window.partitionBy(*keys)  # the centroids of a key's digests
+        wide = table.select(*keys, "mean", "weight", F.sum("weight").over(whole).alias("total"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high"))
 
         def step(state: _Stream, batch: pa.RecordBatch) -> None:
             state.advance(batch.column(0).to_numpy(), batch.column(1).to_numpy(), _extent(batch))
