@@ -20,6 +20,8 @@ from rillmark.llm.common import ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 NONE = np.iinfo(np.int64).max
 KEPT = 200_000
+#: The white space of Unicode beyond ASCII.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def byte_alphabet() -> list[str]:
@@ -113,18 +115,21 @@ class WordBPE:
             tokens, index = known.dictionary.to_pylist(), [number[~stop]]
         else:
             index = []
-        wide = [i for i, x in enumerate(chunks) if not x.isascii() and "<|" not in x]
+        # chunks that hold white space of their own would shift the count of spaces below, so they go one by one
+        wide = [i for i, x in enumerate(chunks) if not x.isascii() and "<|" not in x and not WIDE_SPACE.search(x)]
+        joined: list[int] = []
         if wide:
             text = self.library.normalizer.normalize_str(" ".join([chunks[i] for i in wide]))
             begin = np.flatnonzero(np.concatenate([[True], np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32]))
-            if len(begin) == len(wide):  # else a chunk holds other white space
+            if len(begin) == len(wide):  # else the normaliser leaves nothing of some chunk
                 parts = [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(text)]
                 owner.append(np.array(wide)[np.searchsorted(begin, [a for a, _ in parts], side="right") - 1])
                 index.append(np.arange(len(tokens), len(tokens) + len(parts)))
                 tokens += [text[a:b] for a, b in parts]
-                wide = []
+                joined = wide
         alphabet = {c: b for b, c in enumerate(byte_alphabet())}
-        for i in [*wide, *(i for i, x in enumerate(chunks) if "<|" in x)]:
+        done = {*plain, *joined}
+        for i in [i for i in range(len(chunks)) if i not in done]:
             for x in self.pretokens(chunks[i]):
                 owner.append(np.array([i]))
                 index.append(np.array([len(tokens)]))

@@ -13,6 +13,7 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
 from rillmark.llm import packing, pieces, tokens
+from rillmark.llm.bpe import WIDE_SPACE
 from rillmark.llm.common import table
 from tests.conftest import SMALL
 
@@ -48,6 +49,22 @@ def test_random_text_is_encoded_like_the_library():
     assert all(ids[at[i] : at[i + 1]].tolist() == sp.encode(t) for i, t in enumerate(texts))
 
 
+def test_white_space_beyond_ascii_shifts_no_ids():
+    lib = Tokenizer.from_file(WORD)
+    spaces = "\x85\u00a0\u1680\u2000\u2003\u2028\u2029\u202f\u205f\u3000"
+    every = [c for c in map(chr, range(0x80, 0x110000)) if not 0xD800 <= ord(c) < 0xE000 and " " in lib.normalizer.normalize_str(c)]
+    assert all(WIDE_SPACE.search(c) for c in every)
+    rng = random.Random(2)
+    words = ["caf\u00e9", "na\u00efve", "\u00e9t\u00e9", "plain", "\u4e2d\u6587", "\u0301", "<|endoftext|>\u00e9", "\u0130x"]
+    texts = ["caf\u00e9\u3000\u00e9t\u00e9", "a \u00a0 b", "na\u00efve"]
+    for _ in range(10_000):
+        texts.append("".join(rng.choice([rng.choice(words), rng.choice(spaces), " ", " " + rng.choice(spaces) + " "]) for _ in range(rng.randrange(8))))
+    for slice_ in (texts, texts[:3], texts):  # the last time from what is known
+        ids, at = tokens.text_ids(pa.array(slice_), WORD)
+        for i, t in enumerate(slice_):
+            assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_op4_counts(spark):
     lib = Tokenizer.from_file(WORD)
     got = sorted((r["id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.token_counts(odd_docs(spark), WORD, limit=50).collect() if r["id"] is not None)
