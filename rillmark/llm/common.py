@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 20
-BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,18 +101,20 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit table of fixed size (1 MB) in which every id of the column has its bit; others are mostly without."""
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
-    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(BITS // 64, np.int64)
-    for r in words:
-        out[r["w"]] = r["bits"]
+    """A bit table (1 to 32 MB, sixteen bits an id while they suffice) in which every id of the column has its bit; others
+    are mostly without. Beyond 17 million ids more rows that need not move do so."""
+    count = ids.agg(F.approx_count_distinct(column)).first()[0]
+    size = min(max(1 << (16 * count).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
+    words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
-def id_bit(id_col: str = "id") -> Column:
+def id_bit(bits: np.ndarray, id_col: str = "id") -> Column:
     """An id's place in the bit table."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BITS)), F.lit(0))
+    return F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(len(bits) * 64)), F.lit(0))
 
 
 def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool) -> DataFrame:
@@ -125,7 +127,7 @@ def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool) -> Data
             some = pa.array((((bits[at // 64] >> (at % 64)) & 1) == 1) == keep)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(some)
 
-    return rows.withColumn(free_name(rows.columns, "bit"), id_bit(id_col)).mapInArrow(tidy(run), schema)
+    return rows.withColumn(free_name(rows.columns, "bit"), id_bit(bits, id_col)).mapInArrow(tidy(run), schema)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

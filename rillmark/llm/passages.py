@@ -1,14 +1,16 @@
 """Passages that repeat across documents, found by collinear chaining of shared k-mer seeds.
 
-1. Every document gives its minimizers (the least k-word hash of each window): any 17 words that two documents
-   share hold a common one.
-2. Seeds meet by hash; each occurrence is matched with the first one (smallest id, then place), so a seed that a
-   third of all documents holds gives one match per occurrence, not one per pair. Within a slice of texts a frequent
-   seed is matched with the slice's own first occurrence and only those of that first document travel on.
+1. Seeds are pairs of neighbouring syncmers. A k-mer is a syncmer if its least word hash stands at one of its ends,
+   which depends on its own words alone, so that changed words spoil no seeds around them; one of any three k-mers in
+   a row is one. Any nine words that two documents share hold a seed, and a seed spans five to seven words.
+2. Seeds meet by hash; each occurrence is matched with the first one (smallest document, then place), so a seed that a
+   third of all documents holds gives one match per occurrence, not one per pair. Where two earlier documents hold a
+   passage's parts, the seeds across the joint still lead to a document that holds both. A slice of texts sends one
+   occurrence of a frequent seed and hands that one's match on to the others, whatever the slices are.
 3. The matches of a document with one earlier document are joined into runs on a diagonal, and runs are chained in
    order of both texts with costs for gaps, best predecessors coming from a Fenwick tree of prefix maxima.
 4. Both sides of each chain are fetched and aligned word by word; a chain counts if it spans enough words with
-   enough of them equal.
+   enough of them equal, as do the longest stretches of it where the whole does not.
 """
 
 from __future__ import annotations
@@ -23,90 +25,125 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.common import Words, free_name, id_bit, id_filter, materialize, mix, powers, shuffle_width, table, text_slices, tidy, with_bit
 
-KMER, WINDOW, MIN_WORDS, IDENTITY = 8, 10, 45, 0.8
-MAX_GAP, GAP_COST, MARGIN, DROP = 32, 0.25, 40, 8
+KMER, MIN_WORDS, IDENTITY = 4, 45, 0.8
+#: Words that any seed spans at least, and how near one text repeats a seed for its repeats to be numbered.
+SEED, NEAR = 5, 32
+#: Seeds on a diagonal join into a run up to MAX_GAP words apart; a passage does not go on across LONGEST_GAP words
+#: without a seed (its parts are passages each); MARGIN exceeds MIN_WORDS, so a part that is no passage alone is seen whole.
+MAX_GAP, LONGEST_GAP, GAP_COST, MARGIN, DROP = 32, 250, 0.25, 48, 8
 FREQUENT, LEAST_SPAN = 4, 12
-TOP = np.uint64(2**64 - 1)
+DIRECT, HEAD, MEMBER = 1, 2, 0
 
 
-def minimizers(words: Words, kmer: int = KMER, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chosen k-mers of a slice: text number, place (in words) and hash."""
+def seeds_of(words: Words, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of a slice: text number, place (in words), hash, and 16 bits each of the syncmers before and after."""
     n = np.diff(words.first)
-    if not len(words):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    count = len(words) - kmer + 1
+    if count < 1:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int32))
     up, down = powers(len(words) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes() * up[: len(words)], dtype=np.uint64)])
-    ends = np.minimum(np.arange(len(words)) + kmer, len(words))
-    grams = mix((total[ends] - total[:-1]) * down[: len(words)])
-    place = np.arange(len(words)) - words.first[:-1][words.text]
-    grams[place > n[words.text] - kmer] = TOP
-    padded = np.concatenate([grams, np.full(window, TOP)])
-    best, at = grams.copy(), np.arange(len(words))
-    for j in range(1, window):
-        lower = (padded[j : j + len(words)] < best) & (place + j < n[words.text])
-        best[lower], at[lower] = padded[j : j + len(words)][lower], np.flatnonzero(lower) + j
-    windows = np.maximum(n - kmer + 1 - window + 1, np.minimum(np.maximum(n - kmer + 1, 0), 1))
-    chosen = np.unique(at[place < windows[words.text]])
-    text, place, seed = words.text[chosen], place[chosen], grams[chosen]
-    # where one word or phrase goes on and on its seeds are numbered, so that such stretches meet place by place
+    hashes = words.hashes()
+    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[: len(words)], dtype=np.uint64)])
+    low = np.minimum.reduce([hashes[i : i + count] for i in range(kmer)])
+    place = np.arange(count) - words.first[:-1][words.text[:count]]
+    chosen = np.flatnonzero(((hashes[:count] == low) | (hashes[kmer - 1 :] == low)) & (place <= n[words.text[:count]] - kmer))
+    grams = mix((total[chosen + kmer] - total[chosen]) * down[chosen])
+    text, place = words.text[chosen], place[chosen]
+    one, two = np.flatnonzero(text[1:] == text[:-1]), np.flatnonzero(text[1:] == text[:-1]) + 1
+    step = (place[two] - place[one]).astype(np.uint64)
+    seed = mix(grams[one] + mix(grams[two] + step * np.uint64(0x9E3779B97F4A7C15)))
+    short = np.concatenate([grams >> np.uint64(48) | np.uint64(1), [np.uint64(0)]])
+    before = np.where(one > 0, np.where(text[one - 1] == text[one], short[one - 1], np.uint64(0)), np.uint64(0))
+    after_at = np.minimum(two + 1, len(text) - 1)
+    after = np.where((two + 1 < len(text)) & (text[after_at] == text[two]), short[after_at], np.uint64(0))
+    text, place = text[one], place[one]
+    # where a phrase goes on and on its seeds are numbered, so that such stretches meet place by place
+    order = np.argsort(seed, kind="stable")
     again = np.zeros(len(seed), bool)
-    again[1:] = (seed[1:] == seed[:-1]) & (text[1:] == text[:-1]) & (place[1:] - place[:-1] <= window)
+    again[1:] = (seed[order][1:] == seed[order][:-1]) & (text[order][1:] == text[order][:-1]) & (place[order][1:] - place[order][:-1] <= NEAR)
     since = np.arange(len(seed)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(seed))))
-    return text, place, np.where(since > 0, mix(seed + since.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), seed)
+    numbered = order[since > 0]
+    seed[numbered] = mix(seed[numbered] + since[since > 0].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return text, place, seed, (before << np.uint64(16) | after).astype(np.uint32).view(np.int32)
+
+
+def same_around(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the syncmer before or the one after is the same (they are unknown at the ends of texts)."""
+    x, y = x.view(np.uint32), y.view(np.uint32)
+    return ((x >> 16 == y >> 16) & (x >> 16 > 0)) | ((x & 0xFFFF == y & 0xFFFF) & (x & 0xFFFF > 0))
+
+
+MATCH = "id long, pos int, around int, rid long, rpos int, raround int, kind int"
 
 
 def seed_rows(docs: DataFrame) -> DataFrame:
-    """(seed, kind, id, pos, rid, rpos): seeds (kind 1), and matches found within a slice (kind 0, dealt anywhere)."""
-    names = ["seed", "kind", "id", "pos", "rid", "rpos"]
+    """(seed, the columns of MATCH): occurrences of seeds; those that stand for others of their slice (HEAD), and these
+    others (MEMBER, with the place of their head, dealt anywhere)."""
+    names = ["seed", "id", "pos", "around", "rid", "rpos", "raround", "kind"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
-            text, pos, seed = minimizers(Words(texts))
+            text, pos, seed, around = seeds_of(Words(texts))
             ids = rows.column(0).to_numpy()[text]
             order = np.lexsort((pos, ids, seed))
-            ids, pos, seed = ids[order], pos[order], seed[order]
+            ids, pos, seed, around = ids[order], pos[order].astype(np.int32), seed[order], around[order]
             start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([start, [len(seed)]]))
             head = np.repeat(start, size)
-            local = (np.repeat(size, size) >= FREQUENT) & (ids != ids[head])  # all of the first holder's own travel on
-            met = np.flatnonzero(local)
-            rest = np.flatnonzero(~local)
+            member = (np.repeat(size, size) >= FREQUENT) & (ids != ids[head])  # all of the first holder's own travel on
+            kind = np.full(len(seed), DIRECT, np.int32)
+            kind[head[member]] = HEAD
+            kind[member] = MEMBER
+            met, rest = np.flatnonzero(member), np.flatnonzero(~member)
             null = pa.nulls(len(rest), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(seed[rest].view(np.int64)), pa.array(np.ones(len(rest), np.int32)), pa.array(ids[rest]), pa.array(pos[rest].astype(np.int32)), null, null.cast("int32")], names)
+            yield pa.RecordBatch.from_arrays([pa.array(seed[rest].view(np.int64)), pa.array(ids[rest]), pa.array(pos[rest]), pa.array(around[rest]), null, null.cast("int32"), null.cast("int32"), pa.array(kind[rest])], names)
             if len(met):
-                yield pa.RecordBatch.from_arrays([pa.array(mix(seed[met] + pos[met].astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(met), np.int32)), pa.array(ids[met]), pa.array(pos[met].astype(np.int32)), pa.array(ids[head[met]]), pa.array(pos[head[met]].astype(np.int32))], names)
+                anywhere = mix(seed[met] + ids[met].view(np.uint64) + pos[met].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(anywhere.view(np.int64)), pa.array(ids[met]), pa.array(pos[met]), pa.array(around[met]), pa.array(ids[head[met]]), pa.array(pos[head[met]]), pa.nulls(len(met), pa.int32()), pa.array(kind[met])], names)
 
-    return docs.mapInArrow(tidy(run), "seed long, kind int, id long, pos int, rid long, rpos int")
+    return docs.mapInArrow(tidy(run), f"seed long, {MATCH}")
 
 
 def matches(seeds: DataFrame) -> DataFrame:
-    """(id, pos, rid, rpos): each occurrence of a seed with the seed's first occurrence, in other documents."""
-    names = ["id", "pos", "rid", "rpos"]
+    """(id, pos, rid, rpos, sure): each occurrence of a seed with the seed's first occurrence, in other documents;
+    sure: the syncmers around agree on one side too."""
+    names = [x.split()[0] for x in MATCH.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ready = batch.filter(pa.compute.equal(batch.column(1), 0))
-            if ready.num_rows:
-                yield pa.RecordBatch.from_arrays(ready.columns[2:], names)
-            own = batch.filter(pa.compute.equal(batch.column(1), 1))
+            kinds = batch.column(7).to_numpy()
+            if (kinds == MEMBER).any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kinds == MEMBER)).columns[1:], names)
+            own = batch.filter(pa.array(kinds != MEMBER))
             if not own.num_rows:
                 continue
-            seed, ids, pos = own.column(0).to_numpy(), own.column(2).to_numpy(), own.column(3).to_numpy()
+            seed, ids, pos, around, kind = (own.column(i).to_numpy() for i in (0, 1, 2, 3, 7))
             start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
             size = np.diff(np.concatenate([start, [len(seed)]]))
-            rid, rpos = ids[start], pos[start]
+            rid, rpos, raround = ids[start], pos[start], around[start]
             if now is not None and now[0] == seed[0]:
-                rid[0], rpos[0] = now[1], now[2]
-            now = (seed[-1], rid[-1], rpos[-1])
-            rid, rpos = np.repeat(rid, size), np.repeat(rpos, size)
-            met = np.flatnonzero(ids != rid)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(pos[met]), pa.array(rid[met]), pa.array(rpos[met])], names)
+                rid[0], rpos[0], raround[0] = now[1:]
+            now = (seed[-1], rid[-1], rpos[-1], raround[-1])
+            rid, rpos, raround = (np.repeat(x, size) for x in (rid, rpos, raround))
+            met = np.flatnonzero((ids != rid) | (kind == HEAD))
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (ids, pos, around, rid, rpos, raround, kind)], names)
+
+    def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure = same_around(batch.column(4).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sure)], ["id", "pos", "rid", "rpos", "sure"])
 
     width = shuffle_width(seeds.sparkSession)
-    return seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "pos").mapInArrow(tidy(run), "id long, pos int, rid long, rpos int")
+    found = materialize(seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "pos").mapInArrow(tidy(run), MATCH), "matches")
+    wanted = ["id", "pos", "rid", "rpos", "around", "raround"]
+    heads = found.where(F.col("kind") == HEAD).select(F.col("id").alias("hid"), F.col("pos").alias("hpos"), F.col("rid").alias("to"), F.col("rpos").alias("to_pos"), F.col("raround").alias("to_around"))
+    members = found.where(F.col("kind") == MEMBER).select("id", "pos", F.col("rid").alias("hid"), F.col("rpos").alias("hpos"), "around").join(heads, ["hid", "hpos"])
+    members = members.select("id", "pos", F.col("to").alias("rid"), F.col("to_pos").alias("rpos"), "around", F.col("to_around").alias("raround"))
+    every = found.where(F.col("kind") != MEMBER).select(*wanted).unionByName(members).where("id != rid")
+    return every.mapInArrow(tidy(settled), "id long, pos int, rid long, rpos int, sure boolean")
 
 
 class Fenwick:
@@ -161,26 +198,41 @@ def chain(runs: list[tuple[int, int, int]], gap_cost: float = GAP_COST) -> list[
     return out
 
 
-def chains(found: DataFrame, kmer: int = KMER) -> DataFrame:
-    """(id, rid, runs): chains of each document with each earlier one; runs: a, b, length in words, one after another."""
+def parted(runs: list[tuple[int, int, int]], lines: list[list[int]], longest: int = LONGEST_GAP) -> list[list[int]]:
+    """The chains, cut where a gap is longer than ``longest`` words in either text."""
+    out = []
+    for line in lines:
+        out.append(line[:1])
+        for i, j in zip(line, line[1:], strict=False):
+            if max(runs[j][0] - runs[i][0] - runs[i][2], runs[j][1] - runs[i][1] - runs[i][2]) > longest:
+                out.append([])
+            out[-1].append(j)
+    return out
+
+
+def chains(found: DataFrame) -> DataFrame:
+    """(id, rid, runs): chains of each document with each earlier one; runs: a, b, length in words, one after another.
 
-    def settle(ids: np.ndarray, pos: np.ndarray, rid: np.ndarray, rpos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    A chain goes on to be aligned if it spans LEAST_SPAN words, or if a seed of it has a neighbour in common too."""
+
+    def settle(ids: np.ndarray, pos: np.ndarray, rid: np.ndarray, rpos: np.ndarray, sure: np.ndarray) -> Iterator[pa.RecordBatch]:
         diagonal = rpos - pos
         order = np.lexsort((pos, diagonal, rid, ids))
-        ids, pos, rid, diagonal = (x[order] for x in (ids, pos, rid, diagonal))
+        ids, pos, rid, diagonal, sure = (x[order] for x in (ids, pos, rid, diagonal, sure))
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (ids[1:] != ids[:-1]) | (rid[1:] != rid[:-1]) | (diagonal[1:] != diagonal[:-1]) | (pos[1:] - pos[:-1] > MAX_GAP)
         start = np.flatnonzero(fresh)
         stop = np.concatenate([start[1:], [len(ids)]]) - 1
-        a, length, b = pos[start], pos[stop] + kmer - pos[start], pos[start] + diagonal[start]
+        a, length, b = pos[start], pos[stop] + SEED - pos[start], pos[start] + diagonal[start]
+        sure = np.maximum.reduceat(sure, start) if len(start) else sure
         ids, rid = ids[start], rid[start]
         edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (rid[1:] != rid[:-1])])) if len(ids) else np.zeros(0, np.int64)
         out_id, out_rid, out_runs = [], [], []
         for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
             runs = list(zip(a[i:j].tolist(), b[i:j].tolist(), length[i:j].tolist(), strict=True))
-            for line in chain(runs) if j - i > 1 else [[0]]:
+            for line in parted(runs, chain(runs)) if j - i > 1 else [[0]]:
                 first, last = runs[line[0]], runs[line[-1]]
-                if last[0] + last[2] - first[0] >= LEAST_SPAN:
+                if last[0] + last[2] - first[0] >= LEAST_SPAN or any(sure[i + k] for k in line):
                     out_id.append(ids[i])
                     out_rid.append(rid[i])
                     out_runs.append([x for k in line for x in runs[k]])
@@ -191,7 +243,7 @@ def chains(found: DataFrame, kmer: int = KMER) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            parts = [c.to_numpy() for c in (batch.column(0), batch.column(1), batch.column(2), batch.column(3))]
+            parts = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 parts = [np.concatenate(x) for x in zip(rest, parts, strict=True)]
             other = np.flatnonzero((parts[0] != parts[0][-1]) | (parts[2] != parts[2][-1]))
@@ -207,11 +259,9 @@ def chains(found: DataFrame, kmer: int = KMER) -> DataFrame:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Words of a that stand in b in the same order (longest common subsequence), for short gaps."""
+    """Words of a that stand in b in the same order (longest common subsequence), for gaps of at most LONGEST_GAP words."""
     if not len(a) or not len(b):
         return 0
-    if len(a) * len(b) > 1_000_000:
-        return 0  # counted as unequal
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
         step = row.copy()
@@ -273,15 +323,36 @@ def align(runs: np.ndarray, a: np.ndarray, a_from: int, b: np.ndarray, b_from: i
     return sorted(out)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """(id, start, end, rid, rstart, rend, identity): words start..end-1 of document id also stand, nearly so, in the
-    earlier document rid (words are runs without ASCII white space, A-Z in lower case; rid < id).
+def one_row_each(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, text) with each different text of an id once, under a number of its own; where an id occurs more than
+    once also (num, id, text_hash) of these. The least text hash of an id keeps the id as its number, others follow all ids."""
+    several = materialize(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "several")
+    if several.isEmpty():
+        return rows, None
+    ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("top")).first()
+    bits = id_filter(several, "id")
+    moved = with_bit(rows, bits, "id", keep=True).withColumn("text_hash", F.xxhash64("text"))
+    texts = moved.join(several, "id", "left_semi").select("id", "text_hash").distinct()
+    least = texts.groupBy("id").agg(F.min("text_hash").alias("least"))
+    after = F.lit(ends["top"] + 1) + F.monotonically_increasing_id() if ends["top"] < 1 << 62 else F.lit(ends["low"] - 1) - F.monotonically_increasing_id()
+    names = materialize(texts.join(least, "id").select(F.when(F.col("text_hash") == F.col("least"), F.col("id")).otherwise(after).alias("num"), "id", "text_hash"), "names")
+    moved = moved.join(names, ["id", "text_hash"], "left").select(F.coalesce("num", "id").alias("id"), "text").groupBy("id").agg(F.first("text").alias("text"))
+    return with_bit(rows, bits, "id", keep=False).union(moved), names
 
-    Null and short texts give none; rows without an id are left out; rows of equal id count as one document (any of
-    them is aligned); an empty table gives an empty one.
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """(id, start, end, rid, rstart, rend, identity, text_hash): words start..end-1 of document id also stand, nearly so,
+    in the earlier document rid (words are runs without ASCII white space, A-Z in lower case; rid < id). A span that
+    reaches beyond a longer one of its document by less than a seed is left out; of equal ones the earliest source stays.
+
+    Null, empty and short texts give none; rows without an id are left out; an empty table gives an empty one. Rows of
+    equal id and text are one document; different texts of one id are documents each, those but one later than all
+    others: text_hash (xxhash64, else null) tells which of them a row is about. Texts may be long: one document's words
+    must fit a task. The rows do not depend on partitions or the order of rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    rows, names_of = one_row_each(rows)
     lines = chains(matches(seed_rows(rows))).withColumn("cno", F.monotonically_increasing_id())
     lines = materialize(lines, "chains")
     count = lines.count()
@@ -355,23 +426,70 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "start", "end", "rid", "rstart", "rend", "identity"])
 
     width = shuffle_width(spark)
-    sources = rows.withColumn("bit", id_bit()).mapInArrow(tidy(texts_out), schema)
+    sources = rows.withColumn("bit", id_bit(bits)).mapInArrow(tidy(texts_out), schema)
     regions = sources.union(lines.select("id", "rid", "runs", "cno").mapInArrow(tidy(asked), schema))
     regions = regions.repartition(width, "id", "salt").sortWithinPartitions("id", "salt", "kind").mapInArrow(tidy(cut), "cno long, side int, id long, lo int, words binary, runs array<int>")
-    return regions.repartition(width, "cno").sortWithinPartitions("cno", "side").mapInArrow(tidy(compare), "id long, start int, end int, rid long, rstart int, rend int, identity double")
+    out = regions.repartition(width, "cno").sortWithinPartitions("cno", "side").mapInArrow(tidy(compare), "id long, start int, end int, rid long, rstart int, rend int, identity double")
+    out = widest(out)
+    if names_of is None:
+        return out.withColumn("text_hash", F.lit(None).cast("long"))
+    own = names_of.select(F.col("num").alias("id"), F.col("id").alias("own"), "text_hash")
+    theirs = names_of.select(F.col("num").alias("rid"), F.col("id").alias("theirs"))
+    out = out.join(own, "id", "left").join(theirs, "rid", "left")
+    return out.select(F.coalesce("own", "id").alias("id"), "start", "end", F.coalesce("theirs", "rid").alias("rid"), "rstart", "rend", "identity", "text_hash")
+
+
+def widest(spans: DataFrame) -> DataFrame:
+    """The rows without those whose span another, longer one of the same document covers but for less than a seed's words."""
+    names = spans.columns
+
+    def chosen(rows: pa.Table) -> pa.RecordBatch:
+        start, end, rid, rstart, rend = (rows.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4, 5))
+        kept, low, high = [], np.full(len(start), np.iinfo(np.int64).max), np.zeros(len(start), np.int64)
+        for i in np.lexsort((rend, rstart, rid, start, start - end)).tolist():  # the longest first
+            if not ((low[: len(kept)] < start[i] + SEED) & (high[: len(kept)] > end[i] - SEED)).any():
+                low[len(kept)], high[len(kept)] = start[i], end[i]
+                kept.append(i)
+        return rows.take(pa.array(kept)).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the last document so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            out = []
+            for i, j in zip(edges, edges[1:], strict=False):
+                if rest and rest[0].column(0)[0].as_py() != ids[i]:
+                    out.append(chosen(pa.Table.from_batches(rest)))
+                    rest = []
+                rest.append(batch.slice(i, j - i))
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if rest:
+            yield chosen(pa.Table.from_batches(rest))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema)
+    return spans.repartition(shuffle_width(spans.sparkSession), names[0]).sortWithinPartitions(names[0]).mapInArrow(tidy(run), schema)
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans cut out of the texts; rows without spans are left as they are, to the byte.
 
-    ``spans`` should be a written table. Only documents that may have spans are moved to meet them.
+    ``spans`` should be a written table. Only documents that may have spans are moved to meet them. A span with a
+    text_hash is cut from rows of that text only.
     """
+    if "text_hash" not in spans.columns:
+        spans = spans.withColumn("text_hash", F.lit(None).cast("long"))
     bits = id_filter(spans.select("id"), "id")
     names = docs.columns
-    key, cuts_col = free_name(names, "key"), free_name(names, "cuts")
-    cuts = spans.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts_col))  # at most one span for every few words of a document
+    key, hash_col, cuts_col = (free_name(names, x) for x in ("key", "text_hash", "cuts"))
+    cuts = spans.groupBy(F.col("id").alias(key), F.col("text_hash").alias(hash_col)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts_col))  # at most one span for every few words of a document
     still = with_bit(docs, bits, id_col, keep=False)
-    moved = with_bit(docs, bits, id_col, keep=True).withColumn(key, F.col(id_col).cast("long")).join(cuts, key, "left").select(*names, cuts_col)
+    moved = with_bit(docs, bits, id_col, keep=True)
+    met = (moved[id_col].cast("long") == cuts[key]) & (cuts[hash_col].isNull() | (cuts[hash_col] == F.xxhash64(moved[text_col].cast("string"))))
+    moved = moved.join(cuts, met, "left").select(*[moved[c] for c in names], cuts_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -314,7 +314,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if rest:
             yield found(rest)
 
-    sets = texts.withColumn("bit", id_bit()).mapInArrow(tidy(fetched), "id long, d0 long, d1 long, packed binary")
+    sets = texts.withColumn("bit", id_bit(bits)).mapInArrow(tidy(fetched), "id long, d0 long, d1 long, packed binary")
     held = met.join(sets.withColumnRenamed("id", "node"), ["node", *sums]).select(F.explode("ks").alias("k"), "node", "packed")
     links = held.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(links)

@@ -72,6 +72,99 @@ def test_passages_odd_rows(spark):
     assert passages.without_repeats(df, spans).count() == df.count()
 
 
+def local_alignment(a, b):
+    """The best local alignment of two word lists by brute force (match 1, else -1): where it ends, and its pairs."""
+    best, at = np.zeros((len(a) + 1, len(b) + 1), int), None
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = max(0, best[i, j] + (1 if x == y else -1), best[i, j + 1] - 1, best[i + 1, j] - 1)
+    at = np.unravel_index(best.argmax(), best.shape)
+    equal, (i, j) = 0, at
+    while i and j and best[i, j]:
+        if best[i, j] == best[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
+            equal, i, j = equal + (a[i - 1] == b[j - 1]), i - 1, j - 1
+        elif best[i, j] == best[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return i, int(at[0]), j, int(at[1]), equal
+
+
+KINDS = ["tenth words", "twelfths", "sevenths", "every tenth", "every ninth", "gap of 2", "gap of 5", "joint of 30", "joint of 44"]
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages with words changed, put in or left out, and of two parts that stand first in two other documents; what
+    counts is what a brute-force aligner finds in each pair of documents."""
+    rng = random.Random(5)
+    words, weights = vocabulary(rng, 4_000), [1 / (i + 3) for i in range(4_000)]
+    text = lambda n: rng.choices(words, weights, k=n)
+    docs, cases = [], []
+    for kind in KINDS:
+        for _ in range(20):
+            a = text(60)
+            if kind.startswith("joint"):
+                half = int(kind[-2:])
+                a = text(2 * half)
+                docs += [text(30) + a[:half] + text(30), text(30) + a[half:] + text(30)]
+                b = a
+            elif kind.startswith("gap"):
+                at, n = rng.randrange(15, 45), int(kind[-1])
+                b = a[:at] + (text(n) + a[at:] if rng.random() < 0.5 else a[at + n :])
+            elif kind.startswith("every"):
+                n = {"tenth": 10, "ninth": 9}[kind.split()[1]]
+                b = [f"new{rng.randrange(10**6)}" if k % n == n - 1 else w for k, w in enumerate(a)]
+            else:
+                share = {"tenth words": 0.1, "twelfths": 1 / 12, "sevenths": 1 / 7}[kind]
+                b = [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in a]
+            cases.append((kind, len(docs)))
+            docs += [text(40) + a + text(30), text(50) + b + text(30)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    found = {}
+    for r in passages.repeated_passages(df).collect():
+        found.setdefault(r["id"], set()).update(range(r["start"], r["end"]))
+    hit, all_ = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
+    for kind, i in cases:
+        a0, a1, b0, b1, equal = local_alignment(docs[i], docs[i + 1])
+        if min(a1 - a0, b1 - b0) >= 45 and equal >= 0.8 * max(a1 - a0, b1 - b0):
+            all_[kind] += 1
+            hit[kind] += len(found.get(i + 1, set()) & set(range(b0, b1))) >= 0.8 * (b1 - b0)
+    print("recall of passages:", {k: f"{hit[k]}/{all_[k]}" for k in KINDS})
+    assert all(all_[k] >= 10 and hit[k] >= 0.9 * all_[k] for k in KINDS)
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    docs = table(spark, MIDDLE, "documents")
+    want = sorted(map(tuple, passages.repeated_passages(docs.coalesce(1)).collect()), key=str)
+    assert len(want) > 50
+    for other in (docs.repartition(7), docs.repartition(40), docs.orderBy(F.desc("doc_id"))):
+        assert sorted(map(tuple, passages.repeated_passages(other).collect()), key=str) == want
+
+
+def test_passages_of_rows_with_one_id(spark):
+    """Two texts under one id are documents each; a text that stands twice under an id is one."""
+    rng = random.Random(8)
+    words = vocabulary(rng)
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(80)
+    mine, other = f"{text(20)} {passage} {text(20)}", text(150)
+    rows = [(1, f"{passage} {text(30)}"), (2, mine), (2, other), (2, mine), (5, other), (9, text(60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(df)
+    assert {(r["id"], r["rid"]) for r in got.collect()} in ({(2, 1), (5, 2)}, {(2, 1), (2, 5)})
+    left = [(r["doc_id"], r["text"]) for r in passages.without_repeats(df, got).collect()]
+    assert sum(passage in t for _, t in left) == 1 and sum(t == other for _, t in left) == 1 and len(left) == len(rows)
+    assert sum(i == 2 and t == mine.replace(passage + " ", "") for i, t in left) == 2
+
+
+def test_long_gaps_part_passages():
+    rng = np.random.default_rng(4)
+    assert passages.parted([(0, 0, 400), (700, 400, 400), (1_101, 801, 300)], [[0, 1, 2]]) == [[0], [1, 2]]
+    a = rng.integers(0, 2**32, 240, dtype=np.uint32)
+    b = np.delete(a, np.arange(3, 240, 7))
+    assert passages._common(a, b) == len(b)
+
+
 def test_chain_is_the_best_chain():
     rng = random.Random(1)
     for _ in range(60):
