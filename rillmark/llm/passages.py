@@ -32,15 +32,16 @@ SEED, NEAR = 5, 32
 #: without a seed (its parts are passages each); MARGIN exceeds MIN_WORDS, so a part that is no passage alone is seen whole.
 MAX_GAP, LONGEST_GAP, GAP_COST, MARGIN, DROP = 32, 250, 0.25, 48, 8
 FREQUENT, LEAST_SPAN = 4, 12
-DIRECT, HEAD, MEMBER = 1, 2, 0
+#: A place is one number: the word's, 16 bits of what stands around the seed, and what kind of occurrence it is.
+DIRECT, HEAD, MEMBER, KIND_BITS, PLACE_BITS = 1, 2, 0, 2, 18
 
 
 def seeds_of(words: Words, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The seeds of a slice: text number, place (in words), hash, and 16 bits each of the syncmers before and after."""
+    """The seeds of a slice: text number, place (in words), hash, and 8 bits each of the syncmers before and after (0: none)."""
     n = np.diff(words.first)
     count = len(words) - kmer + 1
     if count < 1:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     up, down = powers(len(words) + 1)
     hashes = words.hashes()
     total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[: len(words)], dtype=np.uint64)])
@@ -52,10 +53,10 @@ def seeds_of(words: Words, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np
     one, two = np.flatnonzero(text[1:] == text[:-1]), np.flatnonzero(text[1:] == text[:-1]) + 1
     step = (place[two] - place[one]).astype(np.uint64)
     seed = mix(grams[one] + mix(grams[two] + step * np.uint64(0x9E3779B97F4A7C15)))
-    short = np.concatenate([grams >> np.uint64(48) | np.uint64(1), [np.uint64(0)]])
-    before = np.where(one > 0, np.where(text[one - 1] == text[one], short[one - 1], np.uint64(0)), np.uint64(0))
-    after_at = np.minimum(two + 1, len(text) - 1)
-    after = np.where((two + 1 < len(text)) & (text[after_at] == text[two]), short[after_at], np.uint64(0))
+    short = (grams >> np.uint64(57)).astype(np.int64) + 1
+    last = np.minimum(two + 1, len(text) - 1)
+    before = np.where((one > 0) & (text[one - 1] == text[one]), short[one - 1], 0)
+    after = np.where((two + 1 < len(text)) & (text[last] == text[two]), short[last], 0)
     text, place = text[one], place[one]
     # where a phrase goes on and on its seeds are numbered, so that such stretches meet place by place
     order = np.argsort(seed, kind="stable")
@@ -64,86 +65,87 @@ def seeds_of(words: Words, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np
     since = np.arange(len(seed)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(seed))))
     numbered = order[since > 0]
     seed[numbered] = mix(seed[numbered] + since[since > 0].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return text, place, seed, (before << np.uint64(16) | after).astype(np.uint32).view(np.int32)
-
-
-def same_around(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the syncmer before or the one after is the same (they are unknown at the ends of texts)."""
-    x, y = x.view(np.uint32), y.view(np.uint32)
-    return ((x >> 16 == y >> 16) & (x >> 16 > 0)) | ((x & 0xFFFF == y & 0xFFFF) & (x & 0xFFFF > 0))
-
-
-MATCH = "id long, pos int, around int, rid long, rpos int, raround int, kind int"
+    return text, place, seed, before << 8 | after
 
 
 def seed_rows(docs: DataFrame) -> DataFrame:
-    """(seed, the columns of MATCH): occurrences of seeds; those that stand for others of their slice (HEAD), and these
+    """(seed, id, place, rid, rplace): occurrences of seeds; those that stand for others of their slice (HEAD), and these
     others (MEMBER, with the place of their head, dealt anywhere)."""
-    names = ["seed", "id", "pos", "around", "rid", "rpos", "raround", "kind"]
+    names = ["seed", "id", "place", "rid", "rplace"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
             text, pos, seed, around = seeds_of(Words(texts))
-            ids = rows.column(0).to_numpy()[text]
-            order = np.lexsort((pos, ids, seed))
-            ids, pos, seed, around = ids[order], pos[order].astype(np.int32), seed[order], around[order]
+            ids, place = rows.column(0).to_numpy()[text], pos << PLACE_BITS | around << KIND_BITS
+            order = np.lexsort((place, ids, seed))
+            ids, place, seed = ids[order], place[order], seed[order]
             start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([start, [len(seed)]]))
             head = np.repeat(start, size)
             member = (np.repeat(size, size) >= FREQUENT) & (ids != ids[head])  # all of the first holder's own travel on
-            kind = np.full(len(seed), DIRECT, np.int32)
+            kind = np.full(len(seed), DIRECT)
             kind[head[member]] = HEAD
             kind[member] = MEMBER
+            place |= kind
             met, rest = np.flatnonzero(member), np.flatnonzero(~member)
             null = pa.nulls(len(rest), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(seed[rest].view(np.int64)), pa.array(ids[rest]), pa.array(pos[rest]), pa.array(around[rest]), null, null.cast("int32"), null.cast("int32"), pa.array(kind[rest])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(seed[rest].view(np.int64)), pa.array(ids[rest]), pa.array(place[rest]), null, null], names)
             if len(met):
-                anywhere = mix(seed[met] + ids[met].view(np.uint64) + pos[met].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(anywhere.view(np.int64)), pa.array(ids[met]), pa.array(pos[met]), pa.array(around[met]), pa.array(ids[head[met]]), pa.array(pos[head[met]]), pa.nulls(len(met), pa.int32()), pa.array(kind[met])], names)
+                anywhere = mix(seed[met] + ids[met].view(np.uint64) + place[met].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anywhere, ids[met], place[met], ids[head[met]], place[head[met]])], names)
 
-    return docs.mapInArrow(tidy(run), f"seed long, {MATCH}")
+    return docs.mapInArrow(tidy(run), "seed long, id long, place long, rid long, rplace long")
 
 
 def matches(seeds: DataFrame) -> DataFrame:
     """(id, pos, rid, rpos, sure): each occurrence of a seed with the seed's first occurrence, in other documents;
-    sure: the syncmers around agree on one side too."""
-    names = [x.split()[0] for x in MATCH.split(", ")]
+    sure: the syncmers on both sides agree too."""
+    names, schema = ["id", "place", "rid", "rplace"], "id long, place long, rid long, rplace long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kinds = batch.column(7).to_numpy()
-            if (kinds == MEMBER).any():
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kinds == MEMBER)).columns[1:], names)
-            own = batch.filter(pa.array(kinds != MEMBER))
+            member = batch.column(2).to_numpy() & (1 << KIND_BITS) - 1 == MEMBER
+            if member.any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(member)).columns[1:], names)
+            own = batch.filter(pa.array(~member))
             if not own.num_rows:
                 continue
-            seed, ids, pos, around, kind = (own.column(i).to_numpy() for i in (0, 1, 2, 3, 7))
+            seed, ids, place = (own.column(i).to_numpy() for i in range(3))
             start = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
             size = np.diff(np.concatenate([start, [len(seed)]]))
-            rid, rpos, raround = ids[start], pos[start], around[start]
+            rid, rplace = ids[start], place[start]
             if now is not None and now[0] == seed[0]:
-                rid[0], rpos[0], raround[0] = now[1:]
-            now = (seed[-1], rid[-1], rpos[-1], raround[-1])
-            rid, rpos, raround = (np.repeat(x, size) for x in (rid, rpos, raround))
-            met = np.flatnonzero((ids != rid) | (kind == HEAD))
-            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (ids, pos, around, rid, rpos, raround, kind)], names)
-
-    def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                rid[0], rplace[0] = now[1:]
+            now = (seed[-1], rid[-1], rplace[-1])
+            rid, rplace = np.repeat(rid, size), np.repeat(rplace, size)
+            met = np.flatnonzero((ids != rid) | (place & (1 << KIND_BITS) - 1 == HEAD))
+            yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (ids, place, rid, rplace)], names)
+
+    def handed_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (0, 0)
         for batch in batches:
-            sure = same_around(batch.column(4).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sure)], ["id", "pos", "rid", "rpos", "sure"])
+            if not batch.num_rows:
+                continue
+            member = batch.column(2).to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(member, -1, np.arange(len(member))))
+            to = [np.where(at < 0, h, x[at]) for x, h in zip((batch.column(3).to_numpy(), batch.column(4).to_numpy()), held, strict=True)]
+            held = (to[0][-1], to[1][-1])
+            some = pa.array(member)
+            yield pa.RecordBatch.from_arrays([batch.column(3).filter(some), batch.column(4).filter(some), pa.array(to[0]).filter(some), pa.array(to[1]).filter(some)], names)
 
     width = shuffle_width(seeds.sparkSession)
-    found = materialize(seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "pos").mapInArrow(tidy(run), MATCH), "matches")
-    wanted = ["id", "pos", "rid", "rpos", "around", "raround"]
-    heads = found.where(F.col("kind") == HEAD).select(F.col("id").alias("hid"), F.col("pos").alias("hpos"), F.col("rid").alias("to"), F.col("rpos").alias("to_pos"), F.col("raround").alias("to_around"))
-    members = found.where(F.col("kind") == MEMBER).select("id", "pos", F.col("rid").alias("hid"), F.col("rpos").alias("hpos"), "around").join(heads, ["hid", "hpos"])
-    members = members.select("id", "pos", F.col("to").alias("rid"), F.col("to_pos").alias("rpos"), "around", F.col("to_around").alias("raround"))
-    every = found.where(F.col("kind") != MEMBER).select(*wanted).unionByName(members).where("id != rid")
-    return every.mapInArrow(tidy(settled), "id long, pos int, rid long, rpos int, sure boolean")
+    found = materialize(seeds.repartition(width, "seed").sortWithinPartitions("seed", "id", "place").mapInArrow(tidy(run), schema), "matches")
+    kind = F.col("place").bitwiseAND((1 << KIND_BITS) - 1)
+    heads = found.where(kind == HEAD).select(F.col("id").alias("hid"), F.col("place").alias("hplace"), F.lit(False).alias("member"), "rid", "rplace")
+    members = found.where(kind == MEMBER).select(F.col("rid").alias("hid"), F.col("rplace").alias("hplace"), F.lit(True).alias("member"), "id", "place")
+    members = heads.union(members).repartition(width, "hid", "hplace").sortWithinPartitions("hid", "hplace", "member").mapInArrow(tidy(handed_on), schema)
+    every = found.where(kind != MEMBER).unionByName(members).where("id != rid")
+    around = [F.shiftright(c, KIND_BITS).bitwiseAND(0xFFFF) for c in ("place", "rplace")]
+    sure = (around[0] == around[1]) & (around[0] > 0xFF) & (around[0].bitwiseAND(0xFF) > 0)
+    return every.select("id", F.shiftright("place", PLACE_BITS).cast("int").alias("pos"), "rid", F.shiftright("rplace", PLACE_BITS).cast("int").alias("rpos"), sure.alias("sure"))
 
 
 class Fenwick:
@@ -213,7 +215,7 @@ def parted(runs: list[tuple[int, int, int]], lines: list[list[int]], longest: in
 def chains(found: DataFrame) -> DataFrame:
     """(id, rid, runs): chains of each document with each earlier one; runs: a, b, length in words, one after another.
 
-    A chain goes on to be aligned if it spans LEAST_SPAN words, or if a seed of it has a neighbour in common too."""
+    A chain goes on to be aligned if it spans LEAST_SPAN words, or if a seed of it has both neighbours in common too."""
 
     def settle(ids: np.ndarray, pos: np.ndarray, rid: np.ndarray, rpos: np.ndarray, sure: np.ndarray) -> Iterator[pa.RecordBatch]:
         diagonal = rpos - pos
