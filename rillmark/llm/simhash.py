@@ -122,10 +122,10 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS)
     ).select("b.m", "b.k", "node", "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        rest: list[list[np.ndarray]] = []  # of the last run so far
 
-        def found(parts: list[np.ndarray]) -> pa.RecordBatch:
-            m, k, node, fp = parts
+        def found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            m, k, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
             a, b = _links(node, fp.view(np.uint64), k, m, masks, max_bits)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -133,14 +133,13 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS)
             if not batch.num_rows:
                 continue
             parts = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                parts = [np.concatenate(x) for x in zip(rest, parts, strict=True)]
             last = np.flatnonzero((parts[0] != parts[0][-1]) | (parts[1] != parts[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
-            if cut:
-                yield found([x[:cut] for x in parts])
-            rest = [x[cut:] for x in parts]
-        if rest is not None:
+            if cut or rest and (rest[-1][0][-1], rest[-1][1][-1]) != (parts[0][-1], parts[1][-1]):
+                yield found([*rest, [x[:cut] for x in parts]])
+                rest = []
+            rest.append([x[cut:] for x in parts])
+        if rest:
             yield found(rest)
 
     width = shuffle_width(nodes.sparkSession)
@@ -151,13 +150,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): each row's fingerprint and the smallest id reachable over links of up to max_bits bits.
 
     Rows of equal fingerprint meet in an aggregate with partial sums, and one of them stands for all in the block
-    join. Null ids are left out (they name no row); repeated ids are kept as rows; an empty table gives an empty one.
+    join. Ids must be whole numbers (others, and nulls, name no row and are left out); repeated ids are kept as rows,
+    and texts of one id are not linked by it; an empty table gives an empty one.
     """
     marks = materialize(fingerprints(docs, id_col, text_col).where("id is not null"), "simhash")
-    nodes = materialize(marks.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
-    roots = connected_components(near_links(nodes, max_bits, blocks))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return marks.join(named, "fp").select("id", "fp", "component")
+    nodes = materialize(marks.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    roots = connected_components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), max_bits, blocks))
+    tied = nodes.join(roots, nodes["fp"] == roots["node"])
+    least = tied.groupBy("root").agg(F.min("least").alias("component"))
+    named = tied.join(least, "root").select("fp", "component")
+    out = marks.join(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp").select("id", "fp", "component")
+    return out
 
 
 # --- documents of similar content -------------------------------------------------------------------------------
@@ -254,32 +257,37 @@ def _similar(node: np.ndarray, run_no: np.ndarray, values: np.ndarray, each: np.
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(id, component) for every row with an id: the smallest id reachable over pairs of similar texts.
+    """(id, text_hash, component, first) for every row with an id: the smallest id reachable over pairs of similar texts,
+    and whether the row's id and text are the first of the group (smallest id, then hash).
 
     Texts are similar if the sets of their shingles of ``words`` words have a Jaccard similarity of 0.8 or more. Equal
     sets collapse first. Sets meet where all minima of a band are equal, which depends on their similarity alone, not
     on where or how a text was changed; of pairs of 0.8 one in 1,300 meets in no band, and fewer above. The sets that
     meet are fetched and compared whole (as 40-bit hashes), so that links are exact. A text shorter than a shingle is
-    one shingle; null and blank texts are each other's copies.
+    one shingle; null, empty and blank texts are each other's copies. Texts under one id are documents each, told apart
+    by text_hash (xxhash64). Ids must be whole numbers: others, like nulls, name no row. An empty table gives an empty one.
     """
     sums, bands = ["d0", "d1"], [f"k{i}" for i in range(BANDS)]
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where("id is not null")
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, slice_ in text_slices(batches):
             out = set_marks(*shingle_sets(Words(slice_), words))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *[pa.array(x.view(np.int64)) for x in out]], ["id", *sums, *bands])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *[pa.array(x.view(np.int64)) for x in out]], ["id", "text_hash", *sums, *bands])
 
-    marks = materialize(texts.mapInArrow(tidy(marked), "id long, " + ", ".join(f"{n} long" for n in [*sums, *bands])), "profiles")
-    nodes = materialize(marks.groupBy(*sums).agg(F.min("id").alias("node"), *[F.min(k).alias(k) for k in bands]), "profile-nodes")
-    dealt = nodes.where("d0 != 0 or d1 != 0").select(F.explode(F.array(*bands)).alias("k"), "node", *sums)
+    marks = materialize(texts.mapInArrow(tidy(marked), "id long, text_hash long, " + ", ".join(f"{n} long" for n in [*sums, *bands])), "profiles")
+    own = F.struct("id", "text_hash")
+    nodes = marks.groupBy(*sums).agg(F.min(own).alias("one"), *[F.min(k).alias(k) for k in bands])
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "profile-nodes")
+    dealt = nodes.where("d0 != 0 or d1 != 0").select(F.explode(F.array(*bands)).alias("k"), "node", F.col("one.id").alias("id"), *sums)
     met = dealt.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
-    met = materialize(met.groupBy("node", *sums).agg(F.collect_list("k").alias("ks")), "profile-met")  # at most BANDS keys
-    bits = id_filter(met, "node")
+    met = materialize(met.groupBy("node", "id", *sums).agg(F.collect_list("k").alias("ks")), "profile-met")  # at most BANDS keys
+    bits = id_filter(met, "id")
 
     def fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, slice_ in text_slices(batches):
-            bit = rows.column(2).to_numpy()
+            bit = rows.column(3).to_numpy()
             some = pa.array(np.flatnonzero((bits[bit // 64] >> (bit % 64)) & 1))
             values, each = shingle_sets(Words(slice_.take(some)), words)
             tell = set_marks(values, each)[:2]
@@ -315,11 +323,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield found(rest)
 
     sets = texts.withColumn("bit", id_bit(bits)).mapInArrow(tidy(fetched), "id long, d0 long, d1 long, packed binary")
-    held = met.join(sets.withColumnRenamed("id", "node"), ["node", *sums]).select(F.explode("ks").alias("k"), "node", "packed")
+    held = met.join(sets, ["id", *sums]).select(F.explode("ks").alias("k"), "node", "packed")
     links = held.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(links)
-    named = nodes.join(roots, "node", "left").select(*sums, F.coalesce("root", "node").alias("component"))
-    return marks.join(named, sums).select("id", "component")
+    tied = nodes.select("node", "one", *sums).join(roots, "node")
+    least = tied.groupBy("root").agg(F.min("one").alias("best"))
+    named = tied.join(least, "root").select(*sums, "best")
+    best = nodes.select(*sums, "one").join(named, sums, "left").select(*sums, F.coalesce("best", "one").alias("best"))
+    return marks.join(best, sums).select("id", "text_hash", F.col("best.id").alias("component"), (own == F.col("best")).alias("first"))
 
 
 def op8(spark, sf_dir):

@@ -284,6 +284,22 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def test_similar_documents_of_one_id(spark):
+    """Ids that several texts have link nothing, and the stage drops rows, not ids; of equal rows one stays."""
+    rng = random.Random(12)
+    words = vocabulary(rng)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, c), (None, a), (None, a), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x")).withColumn("text_hash", F.lit(1)).withColumn("Key", F.lit(2))
+    got = {(r["id"], r["component"], r["first"]) for r in simhash.similar_documents(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (4, 3, False), (5, 5, True), (6, 5, False)}
+    out = corpus_pipeline.one_of_each_group(spark, df, SMALL)
+    left = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == df.columns and left == sorted([(1, a), (2, b), (3, c), (None, a), (None, a), (5, None)], key=str)
+    marks = {(r["id"], r["component"]) for r in simhash.near_duplicates(df).collect()}
+    assert {(1, 1), (2, 1), (2, 2), (3, 3), (4, 3), (5, 5), (6, 5)} == marks
+
+
 def test_stages(spark):
     docs = table(spark, SMALL, "documents").withColumn("id", F.lit("clash")).withColumn("quality_score", F.lit("clash")).withColumn("toxicity_score", F.lit(2))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "simhash", "passages", "packing"]
@@ -301,7 +317,7 @@ def test_stages(spark):
             scores = {r["doc_id"]: r["predicted"] for r in quality.op7(spark, SMALL).collect()}
             assert {r["doc_id"] for r in rows} == {i for i, p in scores.items() if p}
         if name == "simhash":
-            kept = {r["id"] for r in simhash.similar_documents(before).collect() if r["id"] == r["component"]}
+            kept = {r["id"] for r in simhash.similar_documents(before).collect() if r["first"]}
             assert {r["doc_id"] for r in rows} == kept
         if name == "passages":
             assert len(rows) == len(kept) and all(r["n_chars"] == len(r["text"]) for r in rows)
