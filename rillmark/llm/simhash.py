@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.llm.common import Words, id_bit, id_filter, local_components, materialize, mix, ragged, shuffle_width, text_slices, tidy
@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Words of a shingle; bands of equal minima of the shingle set and minima of a band: a pair of Jaccard similarity s
 #: meets in none with probability (1 - s ** ROWS) ** BANDS, which is 0.0008 at 0.8; bytes kept of a shingle's hash;
-#: runs of up to FEW sets are compared pair by pair, all at once.
-WORDS, BANDS, ROWS, KEPT, FEW = 5, 10, 3, 5, 6
+#: runs of up to FEW sets are compared pair by pair, all at once; buckets of more than BLOCK sets are cut into blocks,
+#: each with the same LEADERS sets.
+WORDS, BANDS, ROWS, KEPT, FEW, BLOCK, LEADERS = 5, 10, 3, 5, 6, 2048, 8
 KEPT_BITS = np.uint64(8 * KEPT)
 ODD = np.random.default_rng(20240307).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -256,14 +257,16 @@ def _similar(node: np.ndarray, run_no: np.ndarray, values: np.ndarray, each: np.
     return node[far], node[label[far]]
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(id, text_hash, component, first) for every row with an id: the smallest id reachable over pairs of similar texts,
     and whether the row's id and text are the first of the group (smallest id, then hash).
 
     Texts are similar if the sets of their shingles of ``words`` words have a Jaccard similarity of 0.8 or more. Equal
     sets collapse first. Sets meet where all minima of a band are equal, which depends on their similarity alone, not
     on where or how a text was changed; of pairs of 0.8 one in 1,300 meets in no band, and fewer above. The sets that
-    meet are fetched and compared whole (as 40-bit hashes), so that links are exact. A text shorter than a shingle is
+    meet are fetched and compared whole (as 40-bit hashes), so that links are exact. Where many sets meet, they do so in
+    blocks, with a few sets that stand in all blocks; after that only sets outside the bucket's largest component are
+    compared with the blocks they have not met, so no link between components is lost. A text shorter than a shingle is
     one shingle; null, empty and blank texts are each other's copies. Texts under one id are documents each, told apart
     by text_hash (xxhash64). Ids must be whole numbers: others, like nulls, name no row. An empty table gives an empty one.
     """
@@ -281,8 +284,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = marks.groupBy(*sums).agg(F.min(own).alias("one"), *[F.min(k).alias(k) for k in bands])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "profile-nodes")
     dealt = nodes.where("d0 != 0 or d1 != 0").select(F.explode(F.array(*bands)).alias("k"), "node", F.col("one.id").alias("id"), *sums)
-    met = dealt.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n > 1")
-    met = materialize(met.groupBy("node", "id", *sums).agg(F.collect_list("k").alias("ks")), "profile-met")  # at most BANDS keys
+    met = dealt.join(dealt.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
+    part = F.struct("k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = materialize(met.groupBy("node", "id", *sums).agg(F.collect_list(part).alias("ks")), "profile-met")  # at most BANDS keys
+    crowded = not met.where(F.exists("ks", lambda x: x["blocks"] > 1)).isEmpty()
     bits = id_filter(met, "id")
 
     def fetched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +328,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield found(rest)
 
     sets = texts.withColumn("bit", id_bit(bits)).mapInArrow(tidy(fetched), "id long, d0 long, d1 long, packed binary")
-    held = met.join(sets, ["id", *sums]).select(F.explode("ks").alias("k"), "node", "packed")
-    links = held.repartition(shuffle_width(docs.sparkSession), "k").sortWithinPartitions("k").mapInArrow(tidy(run), "a long, b long")
+    held = met.join(sets, ["id", *sums]).select("node", "ks", "packed")
+    if crowded:
+        held = materialize(held, "profile-sets")
+    rows = _in_blocks(held).select("key", "node", "packed")
+    if crowded:
+        own_hash = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
+        leaders = _in_blocks(met).where("blocks > 1").groupBy("k", "blocks").agg(*own_hash).select("k", "blocks", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("node"))
+        rows = rows.union(_everywhere(leaders.join(held.select("node", "packed"), "node")).select("key", "node", "packed"))
+    width = shuffle_width(docs.sparkSession)
+    links = rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long")
     roots = connected_components(links)
+    if crowded:
+        roots = _rejoined(held, roots, width)
     tied = nodes.select("node", "one", *sums).join(roots, "node")
     least = tied.groupBy("root").agg(F.min("one").alias("best"))
     named = tied.join(least, "root").select(*sums, "best")
@@ -333,6 +348,68 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return marks.join(best, sums).select("id", "text_hash", F.col("best.id").alias("component"), (own == F.col("best")).alias("first"))
 
 
+def _in_blocks(held: DataFrame) -> DataFrame:
+    """Each bucket of each set: k, blocks, the set's block and the key of both, with the columns of ``held``."""
+    rest = [c for c in held.columns if c != "ks"]
+    rows = held.select(F.explode("ks").alias("b"), *rest).select("b.k", "b.blocks", *rest)
+    return rows.withColumn("key", _key(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """Rows (k, blocks, ...) once for every block of their bucket."""
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", _key(F.col("block")))
+
+
+def _key(block: Column) -> Column:
+    return F.when(F.col("blocks") > 1, F.xxhash64("k", block.cast("long"))).otherwise(F.col("k"))
+
+
+def _rejoined(held: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """(node, root) after the sets outside the largest component of a bucket in blocks have met all of its blocks."""
+    labels = materialize(_in_blocks(held.select("node", "ks")).where("blocks > 1").join(roots, "node", "left").select("k", "blocks", "key", "node", F.coalesce("root", "node").alias("root")), "profile-labels")
+    largest = labels.groupBy("k", "root").count().groupBy("k").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+    lone = materialize(labels.join(largest, "k").where("root != main").select("k", "blocks", "node", "root"), "profile-lone")
+    if lone.isEmpty():
+        return roots
+    members = labels.join(lone.select("k").distinct(), "k", "left_semi").select("key", F.lit(False).alias("lone"), "node", "root")
+    every = members.union(_everywhere(lone).select("key", F.lit(True), "node", "root")).join(held.select("node", "packed"), "node").select("key", "lone", "node", "root", "packed")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, table_ = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for key, lone_, node, root, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, parts, table_ = key, [], None
+                own = np.frombuffer(packed, np.uint8)
+                wide = np.zeros((len(own) // KEPT, 8), np.uint8)
+                wide[:, :KEPT] = own.reshape(-1, KEPT)
+                values = wide.view("<u8").reshape(-1)
+                if not lone_:
+                    parts.append((node, root, values))
+                    continue
+                if not parts:
+                    continue
+                if table_ is None:
+                    each = np.array([len(x[2]) for x in parts])
+                    known, number = np.unique(np.concatenate([x[2] for x in parts]), return_inverse=True)
+                    table_ = each, np.cumsum(each) - each, known, number, np.array([x[0] for x in parts]), np.array([x[1] for x in parts])
+                each, begin, known, number, nodes, theirs = table_
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                mark = np.zeros(len(known), bool)
+                mark[at[known[at] == values]] = True
+                common = np.add.reduceat(mark[number], begin, dtype=np.int64)
+                near = np.flatnonzero(_alike(common, len(values), each) & (theirs != root))
+                _, one = np.unique(theirs[near], return_index=True)
+                a += [node] * len(one)
+                b += nodes[near[one]].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    more = every.repartition(width, "key").sortWithinPartitions("key", "lone").mapInArrow(tidy(run), "a long, b long")
+    return connected_components(more.union(roots.select("node", "root")))
+
+
 def op8(spark, sf_dir):
     from rillmark.llm.common import table
 

@@ -284,6 +284,26 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def test_crowded_buckets_are_cut_without_losing_links(spark):
+    """Large groups of near copies, among them chains whose ends are not alike: the same groups whatever the blocks."""
+    rng = random.Random(33)
+    words = vocabulary(rng)
+    rows, base = [], [rng.choice(words) for _ in range(120)]
+    for i in range(260):
+        text = list(base)
+        text[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    for i in range(120):  # away from the base, step by step
+        for at in rng.sample(range(120), rng.choice([1, 2, 2, 3])):
+            base[at] = rng.choice(words)
+        rows.append((500 + i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(tuple, simhash.similar_documents(df).collect()))
+    for block in (12, 60):
+        assert sorted(map(tuple, simhash.similar_documents(df, block=block).collect())) == want
+    assert 2 <= len({r[2] for r in want}) < 60
+
+
 def test_similar_documents_of_one_id(spark):
     """Ids that several texts have link nothing, and the stage drops rows, not ids; of equal rows one stays."""
     rng = random.Random(12)
