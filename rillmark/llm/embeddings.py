@@ -14,7 +14,9 @@ counted from their size; only vectors from outside are compared with their membe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import materialize, ragged, shuffle_width, table, tidy
 from rillmark.llm.graph import connected_components
 
-THRESHOLD, BLOCK, MAX_CELLS, SAMPLE_NUMBERS, SAMPLE_ROWS = 0.95, 2048, 1024, 4_000_000, 20_000
+#: Cells grow with the square root of the table beyond MIN_CELLS; the sample holds SAMPLE_EACH rows a cell, at least
+#: SAMPLE_ROWS and at most SAMPLE_NUMBERS numbers (128 MB).
+THRESHOLD, BLOCK, MIN_CELLS, SAMPLE_NUMBERS, SAMPLE_ROWS, SAMPLE_EACH = 0.95, 2048, 1024, 16_000_000, 20_000, 8
 MAX_BALLS, BALL_ROWS, DENSE = 256, 8_000, 16
 FAR = np.iinfo(np.int64).max
 
@@ -37,11 +41,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, turns: int = 8, seed: int = 7) -> np.ndarray:
-    """k unit centroids (fewer if there are fewer rows); an empty cell keeps its centroid."""
+def spherical_kmeans(x: np.ndarray, k: int, turns: int = 8, seed: int = 7, most: int = 1024) -> np.ndarray:
+    """k unit centroids (fewer if there are fewer rows); an empty cell keeps its centroid. Beyond ``most`` cells the
+    rows are first dealt to about sqrt(k) of them, and each part gets its share of the k."""
+    if k > most:
+        top = spherical_kmeans(x, int(np.ceil(np.sqrt(k))), turns, seed)
+        home = (x @ top.T).argmax(axis=1)
+        return np.vstack([spherical_kmeans(x[home == i], max(1, round(k * n / len(x))), turns, seed) for i, n in enumerate(np.bincount(home)) if n])
     c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(turns):
-        home = (x @ c.T).argmax(axis=1)
+        home = np.concatenate([(x[i : i + 8192] @ c.T).argmax(axis=1) for i in range(0, len(x), 8192)])
         order = np.argsort(home, kind="stable")
         cells, first = np.unique(home[order], return_index=True)
         sums = np.add.reduceat(x[order], first, axis=0)
@@ -73,8 +82,7 @@ class Cells:
     def __init__(self, centroids: np.ndarray, balls: np.ndarray, threshold: float):
         self.centroids, self.balls, self.angle = centroids, balls, float(np.arccos(threshold))
         self.inside = np.sqrt((1 + threshold) / 2) + 1e-9
-        gap = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
-        self.reach = np.sin(self.angle) * gap + 1e-6
+        self.rows = max(16, min(4096, 4_000_000 // max(len(centroids), 1)))  # vectors that are handled at a time
 
     def __len__(self) -> int:
         return len(self.centroids) + len(self.balls)
@@ -97,7 +105,8 @@ class Cells:
         near = np.arccos(np.clip(dots, -1, 1)) <= np.minimum(radius + self.angle, np.pi)[None, :] + 1e-6
         plain = dots[:, : len(self.centroids)]
         first = plain.argmax(axis=1)  # a partner at home in cell j is nearer to c_j than to the vector's nearest centroid
-        near[:, : len(self.centroids)] &= plain[np.arange(len(x)), first][:, None] - plain <= self.reach[first]
+        gap = np.sqrt(np.maximum(2 - 2 * (self.centroids[first] @ self.centroids.T), 0))
+        near[:, : len(self.centroids)] &= plain[np.arange(len(x)), first][:, None] - plain <= np.sin(self.angle) * gap + 1e-6
         return near & (np.arange(len(self))[None, :] > home[:, None])
 
 
@@ -148,33 +157,63 @@ class Block:
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in got], ["node", "links", "low"])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, max_cells: int = MAX_CELLS, dense: int = DENSE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, block: int = BLOCK, max_cells: int | None = None, dense: int = DENSE) -> DataFrame:
     """(id, n_links, component_id, kept) for every row, over all links of cosine >= threshold.
 
-    Vectors that are null, empty, zero or hold null or non-finite numbers, and those whose length is not the most
-    common one, link with nothing. Equal vectors stand for one another in the comparison and are linked. Rows of
-    equal id count as rows each; rows without an id are left out. An empty table gives an empty one.
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, and no others than those
+    of their own length. Equal vectors stand for one another in the comparison and are linked. Rows of equal id count
+    as rows each; ids must be whole numbers (rows with others, or none, are left out). An empty table gives an empty one.
     """
-    spark = vectors.sparkSession
     v = F.col("v")
     usable = F.coalesce(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null").withColumn("ok", usable)
-    size = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = size["d"] if size else 0
-    rows = rows.select("id", "v", (F.col("ok") & (F.size("v") == dim)).alias("ok"))
     nodes = materialize(rows.where("ok").groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
-    count = nodes.count()
-    if not count:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    limit = max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))  # a sample of bounded size, whatever the table's
+    sizes = nodes.groupBy(F.size("v").alias("d")).count()
+    large = {r["d"]: r["count"] for r in sizes.where(F.col("count") > block).collect()}  # lengths of more than a block of vectors
+    found = [_linked(nodes.where(F.size("v") == d), d, n, threshold, block, max_cells, dense) for d, n in sorted(large.items())]
+    small = nodes.where(~F.size("v").isin([*large])) if large else nodes
+    found.append(_met(small.select(F.size("v").cast("long").alias("unit"), F.lit(False).alias("visitor"), "v", "node", "copies"), threshold, FAR, shuffle_width(vectors.sparkSession)))
+    found = materialize(reduce(DataFrame.union, found), "vector-links")
+    roots = connected_components(found.where("low != node").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = nodes.join(links, "node", "left").join(roots, "node", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    out = rows.where("ok").join(named, "v").select("id", "n_links", "component_id")
+    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.col("id") == F.col("component_id"))
+
+
+def _met(dealt: DataFrame, threshold: float, first_ball: int, width: int) -> DataFrame:
+    """(node, links, low): what the vectors of each unit find among its members; units from ``first_ball`` on are balls."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Block(threshold)
+        for batch in batches:
+            unit, visitor = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((unit[1:] != unit[:-1]) | (visitor[1:] != visitor[:-1])) + 1
+            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(unit)], strict=True):
+                if i == j:
+                    continue
+                if unit[i] != now:
+                    now, held = unit[i], Block(threshold)
+                part = batch.slice(i, j - i)
+                held.join(matrix(part.column(2)), part.column(3).to_numpy(), part.column(4).to_numpy(), member=not visitor[i], ball=unit[i] >= first_ball)
+                yield held.take()
+
+    return dealt.repartition(width, "unit").sortWithinPartitions("unit", "visitor").mapInArrow(tidy(compare), "node long, links long, low long")
+
+
+def _linked(nodes: DataFrame, dim: int, count: int, threshold: float, block: int, max_cells: int | None, dense: int) -> DataFrame:
+    """(node, links, low) of the vectors of one length, through cells."""
+    k = min(-(-count // block), max_cells or max(MIN_CELLS, 2 * math.isqrt(count)), max(1, SAMPLE_NUMBERS // dim // 4))
+    limit = max(1, min(max(SAMPLE_ROWS, SAMPLE_EACH * k), SAMPLE_NUMBERS // dim))  # a sample of bounded size, whatever the table's
     sample = matrix(nodes.orderBy(F.xxhash64("node")).limit(limit).select("v").toArrow()["v"].combine_chunks())
-    cells = Cells(spherical_kmeans(sample, min(max_cells, -(-count // block))), dense_centres(sample[:BALL_ROWS], threshold, dense), threshold)
+    cells = Cells(spherical_kmeans(sample, k), dense_centres(sample[:BALL_ROWS], threshold, dense), threshold)
     n_plain = len(cells.centroids)
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
+            for i in range(0, batch.num_rows, cells.rows):
+                part = batch.slice(i, cells.rows)
                 home, dot = cells.home(matrix(part.column(0)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(dot)], ["v", "node", "copies", "cell", "dot"])
 
@@ -183,15 +222,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks, radius = np.zeros(len(cells), np.int64), np.full(len(cells), -10.0)
     inner, lowest = np.zeros(len(cells), np.int64), np.zeros(len(cells), np.int64)
     stats = homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("dot").alias("dot"), F.sum("copies").alias("copies"), F.min("node").alias("low"))
-    for r in stats.collect():  # at most max_cells + MAX_BALLS rows
+    for r in stats.collect():  # one row a cell: their number is bounded by the sample's
         blocks[r["cell"]], radius[r["cell"]] = -(-r["n"] // block), np.arccos(np.clip(r["dot"], -1, 1))
         inner[r["cell"]], lowest[r["cell"]] = r["copies"], r["low"]
     base = np.cumsum(blocks) - blocks
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, cells.rows // 4):
+                part = batch.slice(i, cells.rows // 4)
                 x, node, home = matrix(part.column(0)), part.column(1).to_numpy(), part.column(3).to_numpy().astype(np.int64)
                 own = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[home]
                 row, cell = np.nonzero(cells.visits(x, home, radius))
@@ -210,30 +249,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             node, copies, cell = (batch.column(c).to_numpy() for c in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(inner[cell] - copies), pa.array(lowest[cell])], ["node", "links", "low"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, Block(threshold)
-        for batch in batches:
-            unit, visitor = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((unit[1:] != unit[:-1]) | (visitor[1:] != visitor[:-1])) + 1
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(unit)], strict=True):
-                if i == j:
-                    continue
-                if unit[i] != now:
-                    now, held = unit[i], Block(threshold)
-                part = batch.slice(i, j - i)
-                held.join(matrix(part.column(2)), part.column(3).to_numpy(), part.column(4).to_numpy(), member=not visitor[i], ball=unit[i] >= first_ball)
-                yield held.take()
-
-    width = max(shuffle_width(spark), min(int(blocks.sum()), 4096))
-    found = dealt.repartition(width, "unit").sortWithinPartitions("unit", "visitor").mapInArrow(tidy(compare), "node long, links long, low long")
+    width = max(shuffle_width(nodes.sparkSession), min(int(blocks.sum()), 4096))
     balls = homes.where(F.col("cell") >= n_plain).select("node", "copies", "cell").mapInArrow(tidy(within_balls), "node long, links long, low long")
-    found = materialize(found.union(balls), "vector-links")
-    roots = connected_components(found.where("low != node").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(links, "node", "left").join(roots, "node", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    out = rows.where("ok").join(named, "v").select("id", "n_links", "component_id")
-    alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.union(alone).withColumn("kept", F.col("id") == F.col("component_id"))
+    return _met(dealt, threshold, first_ball, width).union(balls)
 
 
 def op1(spark, sf_dir):

@@ -142,11 +142,9 @@ def test_similar_runs_are_brute_force():
 def brute(vectors, threshold=0.95):
     out = {}
     good = {i: np.array(v, float) for i, v in vectors.items() if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    sizes = [len(v) for v in good.values()]
-    d = max(set(sizes), key=lambda s: (sizes.count(s), -s)) if sizes else 0
-    good = {i: v / np.abs(v).max() for i, v in good.items() if len(v) == d}
+    good = {i: v / np.abs(v).max() for i, v in good.items()}
     good = {i: v / np.linalg.norm(v) for i, v in good.items()}
-    links = [(a, b) for a in good for b in good if a < b and good[a] @ good[b] >= threshold]
+    links = [(a, b) for a in good for b in good if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= threshold]
     root = components(vectors, links)
     for i in vectors:
         out[i] = (sum(i in x for x in links), root[i], root[i] == i)
@@ -166,6 +164,36 @@ def test_vectors_are_brute_force(spark, block, cells, dense):
     assert got == brute(vectors)
 
 
+def test_vectors_of_several_lengths(spark):
+    """Every length is compared within itself, those of many vectors through cells of their own."""
+    rng = np.random.default_rng(5)
+    vectors = {}
+    for d, n in ((4, 60), (7, 90), (2, 9), (1, 3)):
+        centres = rng.normal(size=(6, d))
+        for _ in range(n):
+            vectors[len(vectors)] = (centres[rng.integers(6)] + 0.1 * rng.normal(size=d)).tolist()
+    vectors |= {900: [1.0, 0.0, 0.0], 901: [1.0, 0.0, 0.001]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, block=32).collect()}
+    assert got == brute(vectors) and got[901] == (1, 900, False)
+
+
+def test_products_grow_slower_than_pairs():
+    """Vectors around ever more centres: what is compared grows by less than the power 1.5 of their number."""
+    rng = np.random.default_rng(6)
+    work = {}
+    for n in (4_000, 16_000):
+        x = rng.normal(size=(n // 40, 16))[rng.integers(0, n // 40, n)] + 0.05 * rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centroids = embeddings.spherical_kmeans(x, n // 64, most=100)
+        cells = embeddings.Cells(centroids, np.zeros((0, 16)), 0.95)
+        home, dot = cells.home(x)
+        members, radius = np.bincount(home, minlength=len(cells)), np.full(len(cells), -10.0)
+        np.maximum.at(radius, home, np.arccos(np.clip(dot, -1, 1)))
+        work[n] = (members * members).sum() / 2 + sum((cells.visits(x[i : i + 500], home[i : i + 500], radius) * members).sum() for i in range(0, n, 500))
+    assert work[16_000] / work[4_000] < 4**1.5, work
+
+
 def test_vectors_odd_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(none).count() == 0
