@@ -1,11 +1,16 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-The number of pieces of each length (at most ``capacity`` numbers) is all that the driver sees. It poses the
-configuration linear program over this histogram: how often to use each pattern (multiset of lengths that fits
-a sequence) so that all pieces are covered by as few sequences as possible. Multiplicative weights on the lengths
-act as dual prices; a knapsack dynamic program prices the best pattern in each round; whole multiples are kept and
-the rest goes best-fit, longest first, into the space that is left. The plan tells each piece its place by its
-length and its rank among the pieces of that length, so pieces are placed without moving texts.
+The number of pieces of each length (at most ``capacity`` numbers) is all that the driver sees. Lengths are grouped into
+classes of nearly equal ones (at most CLASSES, each as long as its longest), and the configuration linear program is
+posed over them: how often to use each pattern (multiset of classes that fits a sequence) so that all pieces are covered
+by as few sequences as possible. Multiplicative weights on the classes act as dual prices; a knapsack dynamic program
+prices the best patterns in each round. The fractional cover is rounded, and pieces are poured into the patterns (a
+class that has run out is replaced by the next shorter one). What is left over goes best-fit, longest first, into the
+space that is left.
+
+A piece finds its place by its length and its rank among the pieces of that length: its number within the task that
+made it, plus the numbers of the tasks before. So pieces are neither sorted nor moved, but for a join with these sums
+where they are too many to be broadcast.
 """
 
 from __future__ import annotations
@@ -16,21 +21,26 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.llm.common import materialize, ragged, table, text_slices, tidy
 from rillmark.llm.tokens import text_ids
 
-CAPACITY, END_ID, BUCKETS, ROUNDS = 2048, 0, 64, 24
+CAPACITY, END_ID, CLASSES, ROUNDS, LOSS = 2048, 0, 1024, 60, 0.005
+#: Rows of sums (24 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): each document's token ids and one end id, cut into pieces of
-    ``capacity`` where longer. Null and empty texts have the end id alone. Rows of equal id are documents each."""
-    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    """(id, piece, start, length, ids_crc32[, ids], part, nth): each document's token ids and one end id, cut into pieces
+    of ``capacity`` where longer; nth: the piece's number among those of its length in its task, ``part``. Null and
+    empty texts have the end id alone. Rows of equal or null id are documents each. To be written before it is packed."""
+    names = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["part", "nth"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows, texts in text_slices(batches):
             ids, at = text_ids(texts, path)
             size = np.diff(at) + 1
@@ -48,12 +58,18 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out = [rows.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([low, [len(flat)]]).astype(np.int32)), pa.array(flat.astype(np.int32))))
+            order = np.argsort(length, kind="stable")
+            ranked = length[order]
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.searchsorted(ranked, ranked) + seen[ranked]
+            seen += np.bincount(length, minlength=capacity + 1)
+            out += [pa.array(np.full(len(length), part, np.int32)), pa.array(nth)]
             del ids, at, flat, data, crc
             yield pa.RecordBatch.from_arrays(out, names)
             del out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", part int, nth long"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
@@ -83,19 +99,20 @@ def pattern_from(lengths: np.ndarray, took: np.ndarray, room: int) -> dict[int,
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 0.2, slack: float = 0.002) -> list[tuple[float, dict[int, int]]]:
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 0.2, slack: float = 0.05) -> list[tuple[float, dict[int, int]]]:
     """A fractional cover of the histogram: (times, pattern).
 
-    In each round one knapsack prices the patterns; every length in turn takes its best pattern if that is within
-    ``slack`` of the best of all, and half of what the pattern could still cover is used. A length's weight falls
-    by a factor with the share of it that is covered, so later rounds turn to what is short.
+    In each round one knapsack prices the patterns; every length in turn takes its best pattern if that is near the
+    best of all (within a share that rises to ``slack`` with the rounds), and half of what the pattern could still
+    cover is used, in the last third all. A length's weight falls by a factor with the share of it that is covered, so
+    later rounds turn to what is short.
     """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[x] for x in lengths], float)
     covered, used = np.zeros(len(lengths)), {}
     where = {int(x): i for i, x in enumerate(lengths)}
     for turn in range(rounds):
-        open_ = np.flatnonzero(demand - covered >= 1)
+        open_ = np.flatnonzero(demand - covered > 0.01)
         if not len(open_):
             break
         share = covered[open_] / demand[open_]
@@ -103,13 +120,13 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         best, took = knapsack(lengths[open_], weight, capacity)
         for i in range(len(open_) - 1, -1, -1):
             length = int(lengths[open_[i]])
-            if weight[i] + best[capacity - length] < (1 - slack) * best[capacity]:
+            if weight[i] + best[capacity - length] < (1 - slack * (turn + 1) / rounds) * best[capacity]:
                 continue
             pattern = pattern_from(lengths[open_], took, capacity - length)
             pattern[length] = pattern.get(length, 0) + 1
             rows, copies = np.array([where[x] for x in pattern]), np.array([*pattern.values()], float)
-            times = float(((demand - covered)[rows] / copies).min()) * (0.5 if turn < rounds // 2 else 1.0)
-            if times >= 1:
+            times = float(((demand - covered)[rows] / copies).min()) * (0.5 if 3 * turn < 2 * rounds else 1.0)
+            if times > 0.01:
                 covered[rows] += times * copies
                 key = tuple(sorted(pattern.items()))
                 used[key] = used.get(key, 0.0) + times
@@ -149,18 +166,56 @@ def best_fit(histogram: dict[int, int], capacity: int, bins: list[list] | None =
     return done + [entries[no] for _, no in open_]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list]:
-    """Sequences for all pieces of the histogram: [times, {length: copies}, room] each."""
-    left, bins = dict(histogram), []
-    for times, pattern in sorted(configurations(histogram, capacity, rounds), key=lambda x: -x[0]) if histogram else []:
-        whole = min(int(times + 1e-9), *(left[x] // k for x, k in pattern.items()))
-        if whole:
-            bins.append([whole, pattern, capacity - sum(x * k for x, k in pattern.items())])
-            for x, k in pattern.items():
-                left[x] -= whole * k
-    out = best_fit(left, capacity, bins)
-    plain = best_fit(histogram, capacity)
-    return min(out, plain, key=lambda p: sum(x[0] for x in p))
+def pour(stock: dict[int, list[list[int]]], times: int, pattern: dict[int, int], capacity: int, out: list[list]) -> None:
+    """Fills ``times`` sequences after a pattern of classes from the stock of (length, number) of each class. Equal
+    sequences are one entry; where a class has run out the next shorter one takes its place."""
+    while times > 0:
+        wanted: dict[int, int] = {}
+        for c, copies in pattern.items():
+            while c > 0 and not stock.get(c):
+                c -= 1
+            if c:
+                wanted[c] = wanted.get(c, 0) + copies
+        if not wanted:
+            return
+        step = min([times, *(stock[c][-1][1] // copies for c, copies in wanted.items())])
+        filled: dict[int, int] = {}
+        for c, copies in wanted.items():
+            left = copies * max(step, 1)
+            while left and stock[c]:  # with step 0 one sequence gets the last of a length and some of the next
+                length, n = stock[c][-1]
+                some = min(left, n)
+                filled[length] = filled.get(length, 0) + some // max(step, 1)
+                left -= some
+                stock[c][-1][1] -= some
+                if some == n:
+                    stock[c].pop()
+        out.append([max(step, 1), filled, capacity - sum(x * k for x, k in filled.items())])
+        times -= max(step, 1)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, classes: int = CLASSES, loss: float = LOSS) -> tuple[list[list], int]:
+    """Sequences for all pieces of the histogram (those that rounding leaves emptier than ``loss`` are undone), [times, {length: copies}, room] each, and how many pieces the program's
+    patterns placed (best-fit placed the others)."""
+    unit = -(-capacity // classes)
+    stock: dict[int, list[list[int]]] = {}
+    for length in sorted(histogram):
+        if histogram[length]:
+            stock.setdefault(min(-(-length // unit), capacity // unit), []).append([length, histogram[length]])  # the longest class is alone in its sequences
+    demand = {c: sum(n for _, n in rows) for c, rows in stock.items()}
+    made: list[list] = []
+    due, done = 0.0, 0
+    for times, pattern in sorted(configurations(demand, capacity // unit, rounds), key=lambda x: -x[0]) if demand else []:
+        due += times
+        pour(stock, int(due + 0.5) - done, pattern, capacity, made)
+        done = int(due + 0.5)
+    left = {length: n for rows in stock.values() for length, n in rows if n}
+    full = [entry for entry in made if entry[2] <= loss * capacity]
+    for times, pattern, room in made:
+        if room > loss * capacity:  # rounding left it too empty
+            for length, copies in pattern.items():
+                left[length] = left.get(length, 0) + times * copies
+    return best_fit(left, capacity, full), sum(t * sum(p.values()) for t, p, _ in full)
 
 
 def slots(bins: list[list]) -> dict[str, np.ndarray]:
@@ -180,22 +235,20 @@ def slots(bins: list[list]) -> dict[str, np.ndarray]:
     return {"key": (table_[:, 0] << 48) + table_[:, 1], "rank": table_[:, 1], "base": table_[:, 2], "copies": table_[:, 3], "offset": table_[:, 4]}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, piece, length, ...); ``parts`` should be a written table.
-
-    Ranks within a length come from ranks within (length, bucket) and the sizes of the buckets before, at most
-    capacity * buckets counts, so a length that a third of the pieces have is not ranked in one task.
-    An empty table gives an empty one.
+def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+    """Adds sequence_id and offset to pieces (see ``pieces``); ``parts`` must be a written table, as tasks' numbers are
+    not the same when they run again in another way. The places of all lengths (at most rounds * CLASSES patterns and
+    capacity lengths, whatever the table's size) go to the tasks. An empty table gives an empty one.
     """
-    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
-    counts = materialize(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "packing-counts")
+    counts = materialize(parts.groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    where = slots(plan(histogram, capacity, rounds))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    order = Window.partitionBy("length", "bucket").orderBy("id", "piece")
-    ranked = dealt.withColumn("rank", F.row_number().over(order)).join(F.broadcast(shifts), ["length", "bucket"])  # at most capacity * buckets rows
-    ranked = ranked.select(*parts.columns, (F.col("rank") - 1 + F.col("shift")).alias("rank"))
+    where = slots(plan(histogram, capacity, rounds)[0])
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    if counts.count() <= BROADCAST_ROWS:
+        shifts = F.broadcast(shifts)
+    kept = [c for c in parts.columns if c not in ("part", "nth")]
+    ranked = parts.join(shifts, ["part", "length"]).select(*kept, (F.col("nth") + F.col("shift")).alias("rank"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +259,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, bucke
             columns += [pa.array(where["base"][at] + beyond // where["copies"][at]), pa.array(where["offset"][at] + beyond % where["copies"][at] * length)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name in kept) + ", sequence_id long, offset long"
     return ranked.mapInArrow(tidy(run), schema)
 
 

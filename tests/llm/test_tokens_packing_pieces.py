@@ -17,6 +17,8 @@ from rillmark.llm.bpe import WIDE_SPACE
 from rillmark.llm.common import table
 from tests.conftest import SMALL
 
+MIDDLE = "/root/testdata/sf0.01"
+
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     "", "  ", "A J\u030cx <|endoftext|>a<|ENDOFTEXT|> don't I'LL \uff12\uff13 \u00bd \u200b\x1c x\x85y z w \u0130stanbul \u0391\u03a3 \u03a3", "aaaaaaa " * 3 + "hahahahaha",
@@ -115,19 +117,32 @@ def test_packing_odd_rows(spark):
 
 
 def test_plan_covers_the_histogram():
+    """Every piece has its place; the program places nearly all, in sequences near the least number there can be."""
     rng = np.random.default_rng(0)
-    for n, top in ((1, 10), (50, 100), (3_000, 300)):
-        lengths, counts = np.unique(rng.integers(1, top + 1, n), return_counts=True)
-        histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
-        bins = packing.plan(histogram, top)
+    for n, top in ((1, 10), (50, 100), (3_000, 300), (20_000, 2_048), (5_000, 1_501), (400_000, 2_048)):
+        lengths = np.where(rng.random(n) < 0.15, top, np.minimum(rng.geometric(3 / top, n), top)) if n > 3_000 else rng.integers(1, top + 1, n)
+        histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        bins, placed = packing.plan(histogram, top)
         used = {}
         for times, pattern, room in bins:
-            assert sum(x * k for x, k in pattern.items()) + room == top
+            assert sum(x * k for x, k in pattern.items()) + room == top and room >= 0
             for x, k in pattern.items():
                 used[x] = used.get(x, 0) + times * k
         assert used == histogram
-        assert sum(b[0] for b in bins) <= sum(b[0] for b in packing.best_fit(histogram, top))
-    assert packing.plan({}) == []
+        bound = -(-int(lengths.sum()) // top)
+        sequences, plain = sum(b[0] for b in bins), sum(b[0] for b in packing.best_fit(histogram, top))
+        print("packing:", n, "pieces; bound", bound, "program", sequences, "best-fit alone", plain, "placed by the program", placed / n)
+        assert sequences <= 1.01 * max(bound, plain) + 1
+        assert n < 1_000 or placed >= 0.8 * n
+    assert packing.plan({}) == ([], 0)
+
+
+def test_places_do_not_depend_on_how_tables_are_dealt(spark):
+    docs = table(spark, MIDDLE, "documents")
+    for some in (docs.coalesce(1), docs.repartition(9)):
+        out = packing.pack_documents(some, WORD).collect()
+        total = sum(r["length"] for r in out)
+        assert check_packing(out, 2048) <= 1.01 * -(-total // 2048) + 1
 
 
 def test_pieces_are_the_library_s(spark):
