@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from rillmark.llm.common import materialize, ragged, table, text_slices, tidy
 from rillmark.llm.tokens import text_ids
 
-CAPACITY, END_ID, CLASSES, ROUNDS, LOSS = 2048, 0, 1024, 60, 0.005
+CAPACITY, END_ID, CLASSES, ROUNDS, LOSS, TRIES, STEP = 2048, 0, 1024, 60, 0.005, 6, 0.3
 #: Rows of sums (24 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -99,8 +99,8 @@ def pattern_from(lengths: np.ndarray, took: np.ndarray, room: int) -> dict[int,
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 0.2, slack: float = 0.05) -> list[tuple[float, dict[int, int]]]:
-    """A fractional cover of the histogram: (times, pattern).
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, boost: dict[int, float] | None = None, rate: float = 0.2, slack: float = 0.05) -> list[tuple[float, dict[int, int]]]:
+    """A fractional cover of the histogram: (times, pattern). Weights begin as lengths, times ``boost`` where given.
 
     In each round one knapsack prices the patterns; every length in turn takes its best pattern if that is near the
     best of all (within a share that rises to ``slack`` with the rounds), and half of what the pattern could still
@@ -109,6 +109,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[x] for x in lengths], float)
+    price = lengths / capacity * np.array([(boost or {}).get(x, 1.0) for x in lengths.tolist()])
     covered, used = np.zeros(len(lengths)), {}
     where = {int(x): i for i, x in enumerate(lengths)}
     for turn in range(rounds):
@@ -116,7 +117,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
         if not len(open_):
             break
         share = covered[open_] / demand[open_]
-        weight = lengths[open_] / capacity * np.exp(-rate * (share - share.min()))
+        weight = price[open_] * np.exp(-rate * (share - share.min()))
         best, took = knapsack(lengths[open_], weight, capacity)
         for i in range(len(open_) - 1, -1, -1):
             length = int(lengths[open_[i]])
@@ -194,28 +195,48 @@ def pour(stock: dict[int, list[list[int]]], times: int, pattern: dict[int, int],
         times -= max(step, 1)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, classes: int = CLASSES, loss: float = LOSS) -> tuple[list[list], int]:
-    """Sequences for all pieces of the histogram (those that rounding leaves emptier than ``loss`` are undone), [times, {length: copies}, room] each, and how many pieces the program's
-    patterns placed (best-fit placed the others)."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, classes: int = CLASSES, loss: float = LOSS, tries: int = TRIES) -> tuple[list[list], int]:
+    """Sequences for all pieces of the histogram, [times, {length: copies}, room] each, and how many pieces the program's
+    patterns placed (best-fit placed the others).
+
+    Sequences that rounding leaves emptier than ``loss`` are undone. While the plan takes more than ``loss`` beyond the
+    least number there can be, the weights of classes that were left over are multiplied up and the program is solved
+    again, at most ``tries`` times; the best of its plans counts."""
     unit = -(-capacity // classes)
-    stock: dict[int, list[list[int]]] = {}
-    for length in sorted(histogram):
-        if histogram[length]:
-            stock.setdefault(min(-(-length // unit), capacity // unit), []).append([length, histogram[length]])  # the longest class is alone in its sequences
-    demand = {c: sum(n for _, n in rows) for c, rows in stock.items()}
-    made: list[list] = []
-    due, done = 0.0, 0
-    for times, pattern in sorted(configurations(demand, capacity // unit, rounds), key=lambda x: -x[0]) if demand else []:
-        due += times
-        pour(stock, int(due + 0.5) - done, pattern, capacity, made)
-        done = int(due + 0.5)
-    left = {length: n for rows in stock.values() for length, n in rows if n}
-    full = [entry for entry in made if entry[2] <= loss * capacity]
-    for times, pattern, room in made:
-        if room > loss * capacity:  # rounding left it too empty
-            for length, copies in pattern.items():
-                left[length] = left.get(length, 0) + times * copies
-    return best_fit(left, capacity, full), sum(t * sum(p.values()) for t, p, _ in full)
+    class_of = {length: min(-(-length // unit), capacity // unit) for length, n in histogram.items() if n}  # the longest class is alone in its sequences
+    demand: dict[int, int] = {}
+    for length, c in class_of.items():
+        demand[c] = demand.get(c, 0) + histogram[length]
+    least = -(-sum(length * n for length, n in histogram.items()) // capacity)
+    best, boost = ([], 0), dict.fromkeys(demand, 1.0)
+    for turn in range(tries if demand else 0):
+        stock: dict[int, list[list[int]]] = {}
+        for length in sorted(class_of):
+            stock.setdefault(class_of[length], []).append([length, histogram[length]])
+        made: list[list] = []
+        due, done = 0.0, 0
+        for times, pattern in sorted(configurations(demand, capacity // unit, rounds, boost), key=lambda x: -x[0]):
+            due += times
+            pour(stock, int(due + 0.5) - done, pattern, capacity, made)
+            done = int(due + 0.5)
+        left = {length: n for rows in stock.values() for length, n in rows if n}
+        full = [entry for entry in made if entry[2] <= loss * capacity]
+        for times, pattern, room in made:
+            if room > loss * capacity:
+                for length, copies in pattern.items():
+                    left[length] = left.get(length, 0) + times * copies
+        placed = sum(t * sum(p.values()) for t, p, _ in full)
+        bins = best_fit(left, capacity, full)
+        if not turn or sum(b[0] for b in bins) < sum(b[0] for b in best[0]):
+            best = bins, placed
+        if sum(b[0] for b in best[0]) <= (1 + loss) * least + 1:
+            break
+        missed: dict[int, int] = {}
+        for length, n in left.items():
+            missed[class_of[length]] = missed.get(class_of[length], 0) + n
+        for c, n in missed.items():
+            boost[c] *= 1 + STEP * n / demand[c]
+    return best
 
 
 def slots(bins: list[list]) -> dict[str, np.ndarray]:
