@@ -43,13 +43,14 @@ class HyperLogLog(Sketch):
     hash: str
 
     KIND = "hyperloglog"
+    COLUMNS = ("idx", "rho", "n", "estimate", "bounds", "n_inserts")
 
     @classmethod
     def build(cls, df: DataFrame, item: str | Column, precision: int = 14, by=None, hash: str = "portable") -> HyperLogLog:
         """Nulls are no items. hash="precomputed" takes the item itself as 64 hash bits."""
         if not LOWEST <= precision <= HIGHEST:
             raise ValueError(f"precision must be in {LOWEST}..{HIGHEST}")
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         hashed = df.select(*keys, hash64(as_column(item), check_kind(hash)).alias("__h")).where(F.col("__h").isNotNull())
         placed = hashed.select(*keys, F.shiftrightunsigned("__h", 64 - precision).cast("int").alias("idx"), leading_rank(F.col("__h"), precision).alias("rho"))
         return cls(placed.groupBy(*keys, "idx").agg(F.max("rho").alias("rho"), F.count("*").alias("n")), keys, precision, hash)
@@ -76,13 +77,13 @@ class HyperLogLog(Sketch):
     def estimate(self, confidence: float = 0.95) -> DataFrame:
         """(keys, estimate, bounds, n_inserts). Registers without a row count as zero; small counts by linear counting."""
         m = float(self.registers)
-        found = self.grouped().agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("s"), F.count("*").alias("k"), F.sum("n").alias("n"))
-        raw = F.lit(bias(self.registers) * m * m) / (F.coalesce("s", F.lit(0.0)) + m - F.col("k"))
-        zeros = F.lit(m) - F.col("k")
+        found = self.grouped().agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("__s"), F.count("*").alias("__k"), F.sum("n").alias("__n"))
+        raw = F.lit(bias(self.registers) * m * m) / (F.coalesce("__s", F.lit(0.0)) + m - F.col("__k"))
+        zeros = F.lit(m) - F.col("__k")
         linear = F.lit(m) * F.log(F.lit(m) / zeros)
         limit = 2.5 * m
-        value = F.when(F.col("k") == 0, 0.0).when((raw <= limit) & (zeros > 0), F.when(linear <= limit, linear).otherwise(raw)).otherwise(raw)
-        out = found.select(*self.keys, value.alias("estimate"), F.coalesce("n", F.lit(0)).alias("n_inserts"))
+        value = F.when(F.col("__k") == 0, 0.0).when((raw <= limit) & (zeros > 0), F.when(linear <= limit, linear).otherwise(raw)).otherwise(raw)
+        out = found.select(*self.keys, value.alias("estimate"), F.coalesce("__n", F.lit(0)).alias("n_inserts"))
         return out.withColumn("bounds", error_bounds(F.col("estimate"), F.col("estimate") * z_score(confidence) * self.relative_error, confidence))
 
 

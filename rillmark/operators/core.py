@@ -31,6 +31,8 @@ class Sketch:
     keys: tuple[str, ...]
 
     KIND = "sketch"
+    #: Columns that a sketch and its answers have, so that no key can be called so.
+    COLUMNS = ()
 
     def parameters(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("table", "keys")}
@@ -85,6 +87,25 @@ def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "in
     return left.join(named, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
+def answer(probes: DataFrame, *names: str) -> DataFrame:
+    """``probes``, unless it has columns of these names already."""
+    taken = {c.lower() for c in probes.columns} & set(names)
+    if taken:
+        raise ValueError(f"the probes have a column {sorted(taken)[0]!r}, as the answer has; rename it")
+    return probes
+
+
+#: Sketches without keys of up to so many bytes are sent to the probes as one row; larger ones are joined.
+BROADCAST_BYTES = 8 << 20
+
+
+def dense(table: DataFrame, at: Column, value: Column, size: int) -> DataFrame:
+    """One row (__cells): an array of ``size`` numbers, those of the table at their places and zeros elsewhere."""
+    every = table.sparkSession.range(size).join(table.select(at.cast("long").alias("__at"), value.alias("__v")), F.col("id") == F.col("__at"), "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("__v", F.lit(0)).alias("v")))).alias("__c"))
+    return row.select(F.transform("__c", lambda x: x["v"]).alias("__cells"))
+
+
 def as_column(item: str | Column) -> Column:
     return F.col(item) if isinstance(item, str) else item
 

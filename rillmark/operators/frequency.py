@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions.hashing import bucket, check_kind
-from rillmark.operators.core import MergeError, Sketch, as_column, key_names, positive, saturating_sum
+from rillmark.operators.core import BROADCAST_BYTES, MergeError, Sketch, answer, as_column, dense, key_names, match, positive, saturating_sum
 from rillmark.operators.folds import fold_groups
 
 
@@ -24,6 +24,7 @@ class CountMin(Sketch):
     hash: str
 
     KIND = "count-min"
+    COLUMNS = ("row", "col", "cnt", "n", "estimate", "total_count", "n_updates", "error_bound", "inner_product")
 
     @staticmethod
     def dimensions(epsilon: float, delta: float) -> tuple[int, int]:
@@ -36,11 +37,11 @@ class CountMin(Sketch):
         """Counts are linear, so equal items are summed before they are hashed. Null items are none."""
         positive(width=width, depth=depth)
         check_kind(hash)
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         rows = df.select(*keys, as_column(item).alias("__i"), (F.lit(1) if weight is None else as_column(weight)).cast("long").alias("__w")).where(F.col("__i").isNotNull())
         sums = rows.groupBy(*keys, "__i").agg(saturating_sum(F.col("__w")).alias("__w"), F.count("*").alias("__n"))
-        cells = sums.select(*keys, F.explode(_places(F.col("__i"), width, depth, hash)).alias("c"), "__w", "__n")
-        table = cells.groupBy(*keys, F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(saturating_sum(F.col("__w")).alias("cnt"), F.sum("__n").alias("n"))
+        cells = sums.select(*keys, F.explode(_places(F.col("__i"), width, depth, hash)).alias("__c"), "__w", "__n")
+        table = cells.groupBy(*keys, F.col("__c.row").alias("row"), F.col("__c.col").alias("col")).agg(saturating_sum(F.col("__w")).alias("cnt"), F.sum("__n").alias("n"))
         return cls(table, keys, width, depth, hash)
 
     @classmethod
@@ -52,25 +53,27 @@ class CountMin(Sketch):
         """Conservative update in the order of ``order_by`` (end it with a unique column): a cell only rises to the
         item's new estimate. The order makes it a stream per key: rows are sorted, not gathered; the state is the table."""
         positive(width=width, depth=depth)
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         order = key_names(order_by)
         places = F.array(*[bucket(as_column(item), r, width, hash) for r in range(depth)])
         rows = df.where(as_column(item).isNotNull()).select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], places.alias("__p"), (F.lit(1) if weight is None else as_column(weight)).cast("long").alias("__w"))
 
         def start() -> list:
-            return [np.zeros((depth, width), np.int64), np.zeros((depth, width), np.int64)]
+            return [[0] * (width * depth), np.zeros(width * depth, np.int64)]
 
         def step(state: list, batch: pa.RecordBatch) -> None:
             counts, updates = state
-            across = np.arange(depth)
-            at = np.array(batch.column(0).to_pylist(), np.int64).reshape(-1, depth)
-            for p, w in zip(at, batch.column(1).to_pylist(), strict=True):
-                counts[across, p] = np.maximum(counts[across, p], counts[across, p].min() + w)
-                updates[across, p] += 1
+            at = batch.column(0).flatten().to_numpy().reshape(-1, depth) + np.arange(depth) * width
+            for p, w in zip(at.tolist(), batch.column(1).to_pylist(), strict=True):  # each update needs the one before
+                least = min([counts[i] for i in p]) + w
+                for i in p:
+                    if counts[i] < least:
+                        counts[i] = least
+            updates += np.bincount(at.ravel(), minlength=width * depth)
 
         def finish(state: list) -> dict[str, list]:
-            row, col = np.nonzero(state[1])
-            return {"row": row.tolist(), "col": col.tolist(), "cnt": state[0][row, col].tolist(), "n": state[1][row, col].tolist()}
+            at = np.flatnonzero(state[1])
+            return {"row": (at // width).tolist(), "col": (at % width).tolist(), "cnt": [min(state[0][i], 2**63 - 1) for i in at.tolist()], "n": state[1][at].tolist()}
 
         table = fold_groups(rows, keys, [f"__o{i}" for i in range(len(order))], ["__p", "__w"], start, step, finish, "row int, col long, cnt long, n long")
         return cls(table, keys, width, depth, hash)
@@ -95,11 +98,18 @@ class CountMin(Sketch):
     def estimate(self, probes: DataFrame, item: str) -> DataFrame:
         """``probes`` (with the sketch's keys, if it has any) and ``estimate``: the least cell of the item, 0 for none.
 
-        Distinct probes are looked up; the join is planned by size (a broadcast only below the engine's limit)."""
+        Null keys are keys. A sketch without keys and of at most BROADCAST_BYTES goes to the probes as one row, and they
+        are not shuffled; else distinct probes are looked up in a join."""
+        answer(probes, "estimate")
+        if not self.keys and self.width * self.depth * 8 <= BROADCAST_BYTES:
+            cells = dense(self.table, F.col("row").cast("long") * self.width + F.col("col"), F.col("cnt"), self.width * self.depth)
+            rows = [F.element_at("__cells", (bucket(F.col(item), r, self.width, self.hash) + (r * self.width + 1)).cast("int")) for r in range(self.depth)]
+            return probes.crossJoin(F.broadcast(cells)).select(*probes.columns, F.when(F.col(item).isNull(), 0).otherwise(F.least(*rows) if self.depth > 1 else rows[0]).cast("long").alias("estimate"))
         unique = probes.select(*self.keys, item).where(F.col(item).isNotNull()).distinct()
-        cells = unique.select(*self.keys, item, F.explode(_places(F.col(item), self.width, self.depth, self.hash)).alias("c")).select(*self.keys, item, F.col("c.row").alias("row"), F.col("c.col").alias("col"))
-        looked = cells.join(self.table, [*self.keys, "row", "col"], "left").groupBy(*self.keys, item).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
-        return probes.join(looked, [*self.keys, item], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0)))
+        cells = unique.select(*self.keys, F.col(item).alias("__i"), F.explode(_places(F.col(item), self.width, self.depth, self.hash)).alias("__c")).select(*self.keys, "__i", F.col("__c.row").alias("__row"), F.col("__c.col").alias("__col"))
+        mine = self.table.select(*self.keys, F.col("row").alias("__row"), F.col("col").alias("__col"), F.col("cnt").alias("__cnt"))
+        looked = match(cells, mine, [*self.keys, "__row", "__col"], "left").groupBy(*self.keys, "__i").agg(F.min(F.coalesce("__cnt", F.lit(0))).alias("estimate"))
+        return match(probes, looked.withColumnRenamed("__i", item), [*self.keys, item], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0)))
 
     def exceeding(self, probes: DataFrame, item: str, threshold: int) -> DataFrame:
         return self.estimate(probes, item).where(F.col("estimate") >= threshold)
@@ -108,15 +118,15 @@ class CountMin(Sketch):
         """(keys, inner_product): the least over rows of the sum of products of cells; rows without common cells give 0."""
         if (self.width, self.depth, self.hash, self.keys) != (other.width, other.depth, other.hash, other.keys):
             raise MergeError("inner products need sketches of equal dimensions and keys")
-        mine = self.table.select(*self.keys, "row", "col", F.col("cnt").cast("decimal(38,0)").alias("a"))
-        theirs = other.table.select(*self.keys, "row", "col", F.col("cnt").cast("decimal(38,0)").alias("b"))
-        sums = mine.join(theirs, [*self.keys, "row", "col"]).groupBy(*self.keys, "row").agg(F.sum(F.expr("cast(a as decimal(19,0)) * cast(b as decimal(19,0))")).alias("p"))
+        mine = self.table.select(*self.keys, "row", "col", F.col("cnt").cast("decimal(19,0)").alias("__a"))
+        theirs = other.table.select(*self.keys, "row", "col", F.col("cnt").cast("decimal(19,0)").alias("__b"))
+        sums = match(mine, theirs, [*self.keys, "row", "col"]).groupBy(*self.keys, "row").agg(F.sum(F.col("__a") * F.col("__b")).alias("__p"))
         most = F.lit(2**63 - 1).cast("decimal(38,0)")
         if self.keys:
-            least = self.table.select(*self.keys).distinct().join(sums, [*self.keys], "left").groupBy(*self.keys)
+            least = match(self.table.select(*self.keys).distinct(), sums, self.keys, "left").groupBy(*self.keys)
         else:
             least = sums.groupBy()
-        value = F.when(F.count("row") == self.depth, F.least(F.min("p"), most)).otherwise(F.lit(0)).cast("long")
+        value = F.when(F.count("row") == self.depth, F.least(F.min("__p"), most)).otherwise(F.lit(0)).cast("long")
         return least.agg(value.alias("inner_product"))
 
 

@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillmark.operators.core import MergeError, Sketch, as_column, key_names, positive
+from rillmark.operators.core import MergeError, Sketch, answer, as_column, key_names, match, positive
 from rillmark.operators.folds import fold_groups
 
 
 class _Counters:
+    """At most ``capacity`` counted items; an eviction costs the logarithm of the capacity."""
+
     def __init__(self, capacity: int):
         self.capacity, self.slot, self.items, self.counts, self.errors = capacity, {}, [], [], []
         self.total = self.updates = 0
+        self.heap: list[tuple[int, int]] = []
+
+    def least(self) -> tuple[int, int]:
+        """The least count and the first slot that has it. Counts only grow, so an entry of the heap is a lower bound of
+        its slot's count and is put right when it comes up."""
+        if not self.heap:
+            self.heap = [(n, i) for i, n in enumerate(self.counts)]
+            heapq.heapify(self.heap)
+        while True:
+            low, at = self.heap[0]
+            if self.counts[at] == low:
+                return low, at
+            heapq.heapreplace(self.heap, (self.counts[at], at))
 
     def add(self, item, weight: int) -> None:
         self.total += weight
@@ -29,8 +45,7 @@ class _Counters:
             self.counts.append(weight)
             self.errors.append(0)
         else:  # the first of the least counters goes to the new item
-            low = min(self.counts)
-            at = self.counts.index(low)
+            low, at = self.least()
             del self.slot[self.items[at]]
             self.slot[item] = at
             self.items[at], self.counts[at], self.errors[at] = item, low + weight, low
@@ -43,6 +58,7 @@ class SpaceSaving(Sketch):
     capacity: int
 
     KIND = "space-saving"
+    COLUMNS = ("slot", "item", "cnt", "err", "total", "updates", "rank", "estimate", "error", "guaranteed_count", "tracked", "num_tracked", "total_count", "n_updates")
 
     @classmethod
     def build(cls, df: DataFrame, item: str | Column, order_by, capacity: int, weight: str | Column | None = None, by=None) -> SpaceSaving:
@@ -50,9 +66,9 @@ class SpaceSaving(Sketch):
 
         The result depends on the order, so each key is one stream; it holds ``capacity`` counters."""
         positive(capacity=capacity)
-        keys, order = key_names(by), key_names(order_by)
-        rows = df.where(as_column(item).isNotNull()).select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], as_column(item).alias("item"), (F.lit(1) if weight is None else as_column(weight)).cast("long").alias("__w"))
-        kind = rows.schema["item"].dataType.simpleString()
+        keys, order = key_names(by, cls.COLUMNS), key_names(order_by)
+        rows = df.where(as_column(item).isNotNull()).select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], as_column(item).alias("__item"), (F.lit(1) if weight is None else as_column(weight)).cast("long").alias("__w"))
+        kind = rows.schema["__item"].dataType.simpleString()
 
         def step(state: _Counters, batch: pa.RecordBatch) -> None:
             for value, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -62,7 +78,7 @@ class SpaceSaving(Sketch):
             n = len(s.items)
             return {"slot": list(range(n)), "item": s.items, "cnt": s.counts, "err": s.errors, "total": [s.total] * n, "updates": [s.updates] * n}
 
-        table = fold_groups(rows, keys, [f"__o{i}" for i in range(len(order))], ["item", "__w"], lambda: _Counters(capacity), step, finish, f"slot int, item {kind}, cnt long, err long, total long, updates long")
+        table = fold_groups(rows, keys, [f"__o{i}" for i in range(len(order))], ["__item", "__w"], lambda: _Counters(capacity), step, finish, f"slot int, item {kind}, cnt long, err long, total long, updates long")
         return cls(table, keys, capacity)
 
     @property
@@ -81,10 +97,14 @@ class SpaceSaving(Sketch):
 
     def estimate(self, probes: DataFrame, item: str) -> DataFrame:
         """``probes`` with estimate, error, guaranteed_count (all 0 for untracked items) and tracked."""
-        mine = self.table.select(*self.keys, F.col("item").alias(item), "cnt", "err")
+        answer(probes, "estimate", "error", "guaranteed_count", "tracked")
+        mine = self.table.select(*self.keys, F.col("item").alias(item), F.col("cnt").alias("__cnt"), F.col("err").alias("__err"))
         zero = F.lit(0).cast("long")
-        got = probes.join(mine, [*self.keys, item], "left")
-        return got.select(*probes.columns, F.coalesce("cnt", zero).alias("estimate"), F.coalesce("err", zero).alias("error"), F.coalesce(F.greatest(F.col("cnt") - F.col("err"), zero), zero).alias("guaranteed_count"), F.col("cnt").isNotNull().alias("tracked"))
+        got = match(probes, mine, [*self.keys, item], "left")
+        return got.select(*probes.columns, F.coalesce("__cnt", zero).alias("estimate"), F.coalesce("__err", zero).alias("error"), F.coalesce(F.greatest(F.col("__cnt") - F.col("__err"), zero), zero).alias("guaranteed_count"), F.col("__cnt").isNotNull().alias("tracked"))
+
+    def exceeding(self, probes: DataFrame, item: str, threshold: int) -> DataFrame:
+        return self.estimate(probes, item).where(F.col("estimate") >= threshold)
 
     def heavy_hitters(self, threshold: float) -> DataFrame:
         """The items counted at least floor(threshold * total) times, in slot order."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.operators.core import Sketch, as_column, key_names
+from rillmark.operators.core import Sketch, as_column, key_names, match
 
 
 @dataclass(frozen=True)
@@ -15,11 +15,12 @@ class Moments(Sketch):
     """Rows (keys, n, mean, m2, min, max): one per key."""
 
     KIND = "moments"
+    COLUMNS = ("n", "mean", "m2", "min", "max", "variance", "sample_variance", "stddev", "sample_stddev", "range", "sum")
 
     @classmethod
     def build(cls, df: DataFrame, value: str | Column, by=None) -> Moments:
         """NaN and null are no values."""
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         v = as_column(value).cast("double")
         rows = df.select(*keys, F.when(~F.isnan(v), v).alias("__v"))
         v = F.col("__v")
@@ -33,7 +34,7 @@ class Moments(Sketch):
     def _combine(self, table: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         """Deviations from the common mean, not differences of large squares: the mean first, then the rest around it."""
         means = table.groupBy(*keys).agg((F.sum(F.col("mean") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("__m"))
-        wide = table.join(means, [*keys]) if keys else table.crossJoin(F.broadcast(means))  # without keys the mean is one row
+        wide = match(table, means, keys)
         m2 = F.sum(F.when(F.col("n") > 0, F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("__m"), F.lit(2.0))))
         return wide.groupBy(*keys).agg(F.sum("n").alias("n"), F.first("__m").alias("mean"), m2.alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
 

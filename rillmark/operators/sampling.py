@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.hashing import check_kind, hash64
-from rillmark.operators.core import Sketch, key_names, positive
+from rillmark.operators.core import Sketch, key_names, match, positive
 
 DEFAULT_SEED = 0x12345678
 
@@ -26,18 +26,19 @@ class Reservoir(Sketch):
     hash: str
 
     KIND = "reservoir"
+    COLUMNS = ("priority", "items_seen", "probability", "size", "full")
 
     @classmethod
     def build(cls, df: DataFrame, unique: str, capacity: int, by=None, seed: int = DEFAULT_SEED, hash: str = "portable") -> Reservoir:
         """``unique``: a column that tells rows apart (ties are broken by it); rows where it is null are not sampled."""
         positive(capacity=capacity)
         check_kind(hash)
-        keys = key_names(by)
+        keys = key_names(by, cls.COLUMNS)
         item = F.concat(F.lit(f"{seed}:"), F.col(unique).cast("string"))
         rows = df.where(F.col(unique).isNotNull()).withColumn("priority", hash64(item, hash))
         seen = rows.groupBy(*keys).agg(F.count("*").alias("items_seen"))
         best = _least(rows, keys, unique, capacity)
-        table = best.join(seen, [*keys]) if keys else best.crossJoin(F.broadcast(seen))  # without keys ``seen`` is one row
+        table = match(best, seen, keys)
         rest = [c for c in df.columns if c not in keys]
         return cls(table.select(*keys, "priority", *rest, "items_seen"), keys, capacity, unique, seed, hash)
 
@@ -57,20 +58,24 @@ class Reservoir(Sketch):
             rows, totals = rows.unionByName(p.table.select(*columns)), totals.unionByName(p.items_seen())
         totals = totals.groupBy(*self.keys).agg(F.sum("items_seen").alias("items_seen"))
         best = _least(rows.dropDuplicates([*self.keys, self.unique]), self.keys, self.unique, self.capacity)
-        table = best.join(totals, [*self.keys]) if self.keys else best.crossJoin(F.broadcast(totals))
+        table = match(best, totals, self.keys)
         return Reservoir(table.select(*self.table.columns), self.keys, self.capacity, self.unique, self.seed, self.hash)
 
     def roll_up(self, *keys: str) -> Reservoir:
         """The sample of coarser keys; the keys left out become sampled columns."""
         totals = self.items_seen().groupBy(*keys).agg(F.sum("items_seen").alias("items_seen"))
         best = _least(self.table.drop("items_seen"), tuple(keys), self.unique, self.capacity)
-        table = best.join(totals, [*keys]) if keys else best.crossJoin(F.broadcast(totals))
+        table = match(best, totals, keys)
         rest = [c for c in table.columns if c not in (*keys, "priority", "items_seen")]
         return Reservoir(table.select(*keys, "priority", *rest, "items_seen"), tuple(keys), self.capacity, self.unique, self.seed, self.hash)
 
     def items_seen(self) -> DataFrame:
         return self.grouped().agg(F.coalesce(F.max("items_seen"), F.lit(0)).alias("items_seen"))
 
+    def sizes(self) -> DataFrame:
+        """(keys, size, full): how many rows each sample holds, and whether that is its capacity."""
+        return self.grouped().agg(F.count("*").alias("size"), (F.count("*") >= self.capacity).alias("full"))
+
     def sample(self) -> DataFrame:
         return self.table.drop("priority", "items_seen")
 

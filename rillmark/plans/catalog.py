@@ -333,6 +333,20 @@ def td_small_exact_hazen(spark, d):
     return got.quantiles((0.1, 0.25, 0.5, 0.75, 0.9)).join(small, "user_id", "left_semi").select("user_id", "q", *r6("value"))
 
 
+@query("SELECT user_id, count(value)::BIGINT AS n_values, TRUE AS near FROM events GROUP BY user_id HAVING count(value) > 0")
+def td_by_user(spark, d):
+    """All users, however many values they have: the shares up to the quantiles are within 0.02, or one value where
+    there are few (the digest is exact then, see td_small_exact_hazen)."""
+    e = t(spark, d, "events")
+    got = TDigest.build(e, "value", 100.0, by="user_id")
+    qs = (0.25, 0.5, 0.9)
+    named = got.quantiles(qs).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("m"))  # len(qs) rows a key
+    below, upto = ([F.avg(c(F.col("value"), F.col("m")[q]).cast("double")) for q in qs] for c in (lambda a, b: a < b, lambda a, b: a <= b))
+    slack = F.lit(0.02) + 1 / F.count("value")
+    near = [(lo <= q + slack) & (hi >= q - slack) for lo, hi, q in zip(below, upto, qs, strict=True)]  # equal values share a rank
+    return e.join(named, "user_id").groupBy("user_id").agg(F.count("value").alias("n_values"), (near[0] & near[1] & near[2]).alias("near"))
+
+
 @query("SELECT event_type, count(value)::BIGINT AS n_values, round(min(value), 6) AS min, round(max(value), 6) AS max, TRUE AS near FROM events GROUP BY event_type")
 def td_merge(spark, d):
     e = t(spark, d, "events")

@@ -363,3 +363,110 @@ def test_error_bounds(spark):
     row = one(spark.range(1).select(b.alias("b")).select(width(F.col("b")), F.round(relative_width(F.col("b")), 9), *[contains(F.col("b"), F.lit(x)) for x in (89.0, 90.0, 110.0, 111.0)]))
     assert tuple(row) == (20.0, 0.2, False, True, True, False)
     assert [z_score(c) for c in (0.99, 0.95, 0.9, 0.8, 0.5)] == [2.576, 1.96, 1.645, 1.282, 1.0]
+
+
+# --- keys that are null, and names that sketches use themselves
+
+
+def build_all(df, by):
+    return {
+        "hll": HyperLogLog.build(df, "x", 10, by=by),
+        "cms": CountMin.build(df, "x", 64, 3, by=by),
+        "conservative": CountMin.conservative(df, "x", "seq", 64, 3, by=by),
+        "space-saving": SpaceSaving.build(df, "x", "seq", 5, by=by),
+        "sorted": TDigest.build(df, "value", by=by),
+        "partial": TDigest.build(df, "value", by=by, mode="partial"),
+        "bloom": BloomFilter.for_items(df, "x", 50, 0.01, by=by),
+        "reservoir": Reservoir.build(df, "seq", 4, by=by),
+        "moments": Moments.build(df, "value", by=by),
+    }
+
+
+@pytest.mark.parametrize("name", ["g", "c", "b", "k", "row", "mean", "v"])
+def test_null_keys_are_keys(spark, name):
+    rows = [(i, (None, "a", "b")[i % 3], i % 7, float(i)) for i in range(210)]
+    df = spark.createDataFrame(rows, f"seq long, `{name}` string, x long, value double").repartition(5)
+    own = {"hll": HyperLogLog, "cms": CountMin, "conservative": CountMin, "space-saving": SpaceSaving, "sorted": TDigest, "partial": TDigest, "bloom": BloomFilter, "reservoir": Reservoir, "moments": Moments}
+    if any(name in c.COLUMNS for c in own.values()):  # refused by those that have such a column
+        for kind, build in {"hll": lambda: HyperLogLog.build(df, "x", 10, by=name), "cms": lambda: CountMin.build(df, "x", 64, 3, by=name), "space-saving": lambda: SpaceSaving.build(df, "x", "seq", 5, by=name), "sorted": lambda: TDigest.build(df, "value", by=name), "bloom": lambda: BloomFilter.build(df, "x", 64, 2, by=name), "reservoir": lambda: Reservoir.build(df, "seq", 4, by=name), "moments": lambda: Moments.build(df, "value", by=name)}.items():
+            if name in own[kind].COLUMNS:
+                with pytest.raises(ValueError, match="rename"):
+                    build()
+            else:
+                assert len({r[name] for r in build().table.select(name).distinct().collect()}) == 3
+        return
+    got = build_all(df, name)
+    probes = df.select(name, "x").distinct()
+    exact = {(r[name], r["x"]): r["count"] for r in df.groupBy(name, "x").count().collect()}
+    assert {r[name]: round(r["estimate"]) for r in got["hll"].estimate().collect()} == {None: 7, "a": 7, "b": 7}
+    for kind in ("cms", "conservative"):
+        assert all(r["estimate"] >= exact[r[name], r["x"]] for r in got[kind].estimate(probes, "x").collect())
+    merged = got["cms"].merge(got["cms"])
+    assert all(r["estimate"] >= 2 * exact[r[name], r["x"]] for r in merged.estimate(probes, "x").collect())
+    assert got["cms"].inner_product(got["cms"]).count() == 3
+    assert all(r["estimate"] >= exact[r[name], r["x"]] for r in got["space-saving"].estimate(probes, "x").collect() if r["tracked"])
+    assert got["space-saving"].estimate(probes, "x").where("tracked").count() == 15
+    for kind in ("sorted", "partial"):
+        for digest in (got[kind], got[kind].merge(got[kind])):
+            assert {r[name]: r["median"] for r in digest.median().collect()} == pytest.approx({None: 103.5, "a": 104.5, "b": 105.5}, abs=1)
+    assert got["bloom"].contains(probes, "x").where("contains").count() == len(exact) == got["bloom"].semi_join(probes, "x").count()
+    assert got["reservoir"].merge(got["reservoir"]).table.count() == got["reservoir"].table.count() == 12
+    assert {r[name]: (r["size"], r["full"]) for r in got["reservoir"].sizes().collect()} == dict.fromkeys((None, "a", "b"), (4, True))
+    assert {r[name]: r["n"] for r in got["moments"].merge(got["moments"]).stats().collect()} == dict.fromkeys((None, "a", "b"), 140)
+
+
+def test_answers_do_not_overwrite_columns_of_probes(spark):
+    df = spark.range(10).select(F.col("id").alias("x"), F.col("id").alias("seq"))
+    for sketch, name in ((CountMin.build(df, "x", 8, 2), "estimate"), (SpaceSaving.build(df, "x", "seq", 3), "tracked")):
+        with pytest.raises(ValueError, match=name):
+            sketch.estimate(df.withColumn(name, F.lit(1)), "x")
+    with pytest.raises(ValueError, match="contains"):
+        BloomFilter.build(df, "x", 64, 2).contains(df.withColumn("Contains", F.lit(1)), "x")
+
+
+def test_probes_meet_one_row_or_a_join(spark, monkeypatch):
+    """Small sketches without keys are broadcast, and their probes are not shuffled; larger ones are joined: same answers."""
+    df = spark.range(3_000).select((F.col("id") % 800).alias("x"))
+    probes = spark.range(0, 1_600).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("x")).repartition(3)
+    cms, bloom = CountMin.build(df, "x", 200, 3), BloomFilter.for_items(df, "x", 800, 0.05)
+    plan = cms.estimate(probes, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x" not in plan
+    small = [sorted(map(tuple, out.collect()), key=str) for out in (cms.estimate(probes, "x"), bloom.contains(probes, "x"))]
+    for module in ("frequency", "membership"):
+        monkeypatch.setattr(f"rillmark.operators.{module}.BROADCAST_BYTES", 0)
+    assert small == [sorted(map(tuple, out.collect()), key=str) for out in (cms.estimate(probes, "x"), bloom.contains(probes, "x"))]
+
+
+def test_keys_stay_whole_after_a_join_on_them(spark):
+    """Adaptive execution may split a join's partitions; a key is one stream and one digest all the same."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(60_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("seq"), (F.col("id") % 97).alias("x")).repartition(12)
+        joined = df.join(df.groupBy("g").agg(F.max("x").alias("most")), "g")
+        assert [r["num_tracked"] for r in SpaceSaving.build(joined, "x", "seq", 10, by="g").totals().collect()] == [10, 10]
+        assert sorted(r["total"] for r in SpaceSaving.build(joined, "x", "seq", 10, by="g").table.select("g", "total").distinct().collect()) == [30_000, 30_000]
+        for mode in ("sorted", "partial"):
+            digest = TDigest.build(joined, "x", by="g", mode=mode)
+            assert digest.table.groupBy("g", "pos").count().where("count > 1").isEmpty()
+            assert digest.table.agg(F.sum("weight")).first()[0] == 60_000
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_sorted_digest_is_the_greedy_digest(spark):
+    """Centroids end where a single pass over all values in order ends them; hot values, both signs, any partitions."""
+    import numpy as np
+
+    from rillmark.operators.quantiles import compress
+
+    rng = np.random.default_rng(3)
+    xs = np.concatenate([rng.normal(size=4_000), np.full(3_000, 0.5), np.zeros(800), rng.lognormal(3, 2, 3_000), -rng.lognormal(1, 1, 900)])
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(xs)], "value double").repartition(7)
+    got = TDigest.build(df, "value", 50.0).table.orderBy("pos").collect()
+    mean, weight = compress(np.sort(xs), np.ones(len(xs), np.int64), 50.0)
+    assert [r["weight"] for r in got] == weight.tolist() and np.allclose([r["mean"] for r in got], mean, rtol=1e-12, atol=1e-12)
+    assert {(r["total"], r["low"], r["high"]) for r in got} == {(len(xs), xs.min(), xs.max())}
