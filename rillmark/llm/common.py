@@ -36,6 +36,8 @@ def scratch_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rillmark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -100,24 +102,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+def id_filter(ids: DataFrame, column: str, kind: str = "long") -> np.ndarray:
     """A bit table (1 to 32 MB, sixteen bits an id while they suffice) in which every id of the column has its bit; others
     are mostly without. Beyond 17 million ids more rows that need not move do so."""
     count = ids.agg(F.approx_count_distinct(column)).first()[0]
     size = min(max(1 << (16 * count).bit_length(), LEAST_BITS), MOST_BITS)
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(size))
+    bit = F.pmod(F.xxhash64(F.col(column).cast(kind)), F.lit(size))
     words = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 
-def id_bit(bits: np.ndarray, id_col: str = "id") -> Column:
+def id_bit(bits: np.ndarray, id_col: str = "id", kind: str = "long") -> Column:
     """An id's place in the bit table."""
-    return F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(len(bits) * 64)), F.lit(0))
+    return F.coalesce(F.pmod(F.xxhash64(F.col(id_col).cast(kind)), F.lit(len(bits) * 64)), F.lit(0))
 
 
-def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool) -> DataFrame:
+def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool, kind: str = "long") -> DataFrame:
     """The rows whose id has its bit (or has not)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
@@ -127,7 +129,7 @@ def with_bit(rows: DataFrame, bits: np.ndarray, id_col: str, keep: bool) -> Data
             some = pa.array((((bits[at // 64] >> (at % 64)) & 1) == 1) == keep)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(some)
 
-    return rows.withColumn(free_name(rows.columns, "bit"), id_bit(bits, id_col)).mapInArrow(tidy(run), schema)
+    return rows.withColumn(free_name(rows.columns, "bit"), id_bit(bits, id_col, kind)).mapInArrow(tidy(run), schema)
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import materialize, shuffle_width, table, text_slices, tidy
+from rillmark.llm.common import id_filter, materialize, shuffle_width, table, text_slices, tidy, with_bit
 
 ROWS_CHARS = 128 << 20
 
@@ -57,7 +57,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The next document is the next row by id (rows of equal id in the order of their compressed bytes), after the last the first. Likeness of exact fingerprints is 1
     where canonical bytes are equal and 0 elsewhere. Null texts are empty (the empty form has a fingerprint too);
-    rows without an id are left out; repeated ids are rows each; an empty table gives an empty one.
+    rows without an id are left out (ids must be whole numbers); repeated ids are rows each; an empty table gives an
+    empty one. Edited forms are compared with their own document's bytes, not with those of other documents.
 
     Documents are dealt out by ranges of ids, compressed, with a copy of the first document of the next range; a
     task then streams its range in order and holds two documents at a time.
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
     known = materialize(marks(rows), "marks")
     total = known.agg(F.sum("n_chars").alias("c"), F.count("*").alias("n"), F.min("id").alias("low")).first()
-    shared = known.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    shared = materialize(known.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "shared")
     parts = max(shuffle_width(spark), int((total["c"] or 0) // ROWS_CHARS))
     cuts = np.unique(np.array(known.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts) if total["n"] else [], np.int64))  # bounded by the number of parts
     n_parts = len(cuts) + 1
@@ -98,7 +99,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(n, bool)), batch.column(0), pa.array(np.zeros(n, np.int32)), batch.column(1), pa.nulls(n, pa.binary())], ["p", "last", "id", "kind", "digest", "packed"])
 
     schema = "p int, last boolean, id long, kind int, digest string, packed binary"
-    several = known.select("id", "digest").join(shared, "digest").select("id", "digest").mapInArrow(tidy(flag), schema)
+    # a digest whose bit is set by another one only has its bytes compared in vain
+    several = with_bit(known.select("id", "digest"), id_filter(shared, "digest", "string"), "digest", keep=True, kind="string").mapInArrow(tidy(flag), schema)
     dealt = rows.mapInArrow(tidy(deal), schema).union(several).repartitionById(n_parts, "p").sortWithinPartitions("p", "last", "id", "kind", "packed")
     names = ["id", "n_chars", "edited_sha256", "digest", "edited_digest", "sha", "edited_sha", "near_edited", "near_next", "canon"]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64(), pa.binary()]
