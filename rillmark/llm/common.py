@@ -43,11 +43,14 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, survives lost executors. The table
+    is deleted by ``discard``, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/rillmark/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out._rillmark_path = path
     return out
 

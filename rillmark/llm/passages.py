@@ -359,7 +359,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = materialize(lines, "chains")
     count = lines.count()
     # documents that many chains refer to are dealt out in several copies, each serving a share of the chains
-    heap = max(2000, count // 4000)
+    heap = max(500, count // 4000)
     hot = {r["rid"]: -(-r["count"] // heap) for r in lines.groupBy("rid").count().where(F.col("count") > heap).collect()}  # at most count / heap rows
     hot_id = np.array(sorted(hot), np.int64)
     hot_n = np.array([hot[x] for x in hot_id.tolist()], np.int64)

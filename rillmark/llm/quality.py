@@ -153,9 +153,13 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> AdditiveModel:
-    """Fits on at most ``fit_rows`` labelled documents outside the held-out fold; only their features reach the driver."""
+    """Fits on at most ``fit_rows`` labelled documents outside the held-out fold; only their features reach the driver.
+
+    Of several texts of one id that of least hash counts; null and empty texts count as any other; labels without a
+    document and documents without a label or an id do not; without usable rows every score is 0.5."""
     chosen = training_rows(labels, label_col, id_col, FOLDS, HELD_OUT, fit_rows)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most fit_rows rows
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most fit_rows ids
+    sample = sample.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
@@ -168,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
-    """``docs`` with ``score_col`` (0 to 1, higher for label 1), from each row's whole text alone."""
+    """``docs`` with ``score_col`` (0 to 1, higher for label 1), from each row's whole text alone, however long. Null and
+    empty texts have all features zero and a score; ids do not matter; an empty table gives an empty one."""
     names = [*docs.columns, score_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

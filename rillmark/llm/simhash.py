@@ -159,8 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tied = nodes.join(roots, nodes["fp"] == roots["node"])
     least = tied.groupBy("root").agg(F.min("least").alias("component"))
     named = tied.join(least, "root").select("fp", "component")
-    out = marks.join(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "fp").select("id", "fp", "component")
-    return out
+    # written, so that the join below is one of two plain shuffles, which adaptive execution can split at a hot fingerprint
+    named = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "simhash-named")
+    return marks.join(named, "fp").select("id", "fp", "component")
 
 
 # --- documents of similar content -------------------------------------------------------------------------------
@@ -344,7 +345,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tied = nodes.select("node", "one", *sums).join(roots, "node")
     least = tied.groupBy("root").agg(F.min("one").alias("best"))
     named = tied.join(least, "root").select(*sums, "best")
-    best = nodes.select(*sums, "one").join(named, sums, "left").select(*sums, F.coalesce("best", "one").alias("best"))
+    best = materialize(nodes.select(*sums, "one").join(named, sums, "left").select(*sums, F.coalesce("best", "one").alias("best")), "profile-best")  # for a join that can be split
     return marks.join(best, sums).select("id", "text_hash", F.col("best.id").alias("component"), (own == F.col("best")).alias("first"))
 
 

@@ -31,7 +31,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, n_bytes, n_tokens, over_limit) of every row's whole text; null and empty texts have no bytes and no tokens.
 
     White space ends a pre-token, so each distinct run without ASCII white space of a slice is split and merged
-    once, by rank-synchronous merging, and counted wherever it stands. Rows of equal id are counted each.
+    once, by rank-synchronous merging, and counted wherever it stands. Rows of equal or null id are counted each; texts
+    are whole, however long; an empty table gives an empty one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,7 +78,7 @@ def fit(row: np.ndarray, column: np.ndarray, positive: np.ndarray, n_columns: in
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, vocabulary: int = VOCABULARY) -> WordModel:
     """Fits on at most ``positive_rows`` confirmed toxic and ``unlabelled_rows`` other documents of the training folds.
 
-    Equal texts of the sample count once. The vocabulary is the ``vocabulary`` words whose share of documents differs
+    Equal texts of the sample count once, of several texts of one id that of least hash; null and empty texts have no words. The vocabulary is the ``vocabulary`` words whose share of documents differs
     most (by MIN_Z standard errors at least) between the two samples; the class prior is the share of toxic rows among the labelled.
     Without toxic rows every score is the prior's.
     """
@@ -97,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keep = pa.array(text)
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("same")).take(keep), rows.column(rows.schema.get_field_index("p")).take(keep), pa.array(key)], ["d", "p", "w"])
 
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "p", F.xxhash64("text").alias("same"))
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("p").alias("p"))
+    sample = sample.select("text", "p", F.xxhash64("text").alias("same"))
     seen = sample.mapInArrow(tidy(run), "d long, p boolean, w long").groupBy("d", "w").agg(F.max("p").alias("p"))
     seen = materialize(seen, "toxicity-words")
     size = {r["p"]: r["n"] for r in seen.groupBy("d").agg(F.max("p").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
@@ -122,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: WordModel, text_col: str = "text", score_col: str = "toxicity_score") -> DataFrame:
-    """``docs`` with ``score_col`` (0 to 1), from each row's whole text alone."""
+    """``docs`` with ``score_col`` (0 to 1), from each row's whole text alone, however long. Null and empty texts have no
+    words and a score; ids do not matter; an empty table gives an empty one."""
     names = [*docs.columns, score_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
