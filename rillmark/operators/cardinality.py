@@ -92,3 +92,14 @@ def builtin_distinct(df: DataFrame, item: str, by=None, error: float = 0.05) ->
     if not 0.01 <= error < 0.4:
         raise ValueError("error must be in 0.01..0.4")
     return df.groupBy(*key_names(by)).agg(F.approx_count_distinct(item, error).alias("estimate"))
+
+
+def builtin_hll(df: DataFrame, item: str, by=None, log_k: int = 14) -> DataFrame:
+    """(keys, sketch): the engine's own binary sketch (4 to 21 bits of registers), which ``builtin_hll_union`` merges."""
+    return df.groupBy(*key_names(by)).agg(F.hll_sketch_agg(item, log_k).alias("sketch"))
+
+
+def builtin_hll_union(sketches: DataFrame, by=None) -> DataFrame:
+    """(keys, estimate): the binary sketches of each key merged and estimated."""
+    keys = key_names(by)
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch")).select(*keys, F.hll_sketch_estimate("sketch").alias("estimate"))

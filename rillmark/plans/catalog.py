@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from rillmark.operators.moments import Moments
 from rillmark.operators.quantiles import TDigest
 from rillmark.operators.sampling import DEFAULT_SEED, Reservoir
 from rillmark.plans import sql
+from rillmark.sources.store import scratch_root
 from rillmark.streaming import windows
 
 QUERIES: dict = {}
@@ -175,6 +177,25 @@ def hll_builtin(spark, d):
     return exact.join(got, "event_type").select("event_type", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("within"))
 
 
+@query("SELECT event_type, count(DISTINCT user_id)::BIGINT AS exact, TRUE AS within FROM events GROUP BY event_type")
+def hll_builtin_union(spark, d):
+    e = t(spark, d, "events")
+    days = cardinality.builtin_hll(e.withColumn("day", F.to_date("ts")), "user_id", by=["event_type", "day"])
+    got = cardinality.builtin_hll_union(days, by="event_type")
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    return exact.join(got, "event_type").select("event_type", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"))
+
+
+@query(sql.hll_registers("events", "user_id", 12))
+def sql_hll_registers(spark, d):
+    """The registers in SQL, from registered functions."""
+    from rillmark import sqlapi
+
+    sqlapi.register_functions(spark)
+    hashed = t(spark, d, "events").selectExpr("sketch_hash(CAST(user_id AS STRING)) AS h").where("h is not null")
+    return hashed.selectExpr("sketch_register(h, 12) AS idx", "sketch_rank(h, 12) AS rho").groupBy("idx").agg(F.max("rho").alias("rho"), F.count("*").alias("n"))
+
+
 # --- frequencies ------------------------------------------------------------------------------------------------
 
 W, D = CountMin.dimensions(0.001, 0.01)
@@ -390,6 +411,14 @@ def td_builtin(spark, d):
     return e.join(got, "event_type").groupBy("event_type").agg(F.count("value").alias("n_values"), (near[0] & near[1] & near[2]).alias("near"))
 
 
+@query("SELECT event_type, count(value)::BIGINT AS n_values, TRUE AS near FROM events GROUP BY event_type")
+def td_builtin_kll(spark, d):
+    e = t(spark, d, "events")
+    got = quantiles.builtin_kll(e, "value", (0.25, 0.5, 0.9), by="event_type").groupBy("event_type").agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("m"))  # three rows a key
+    near = [F.abs(F.avg((F.col("value") <= F.col("m")[q]).cast("double")) - q) <= 0.02 for q in (0.25, 0.5, 0.9)]
+    return e.join(got, "event_type").groupBy("event_type").agg(F.count("value").alias("n_values"), (near[0] & near[1] & near[2]).alias("near"))
+
+
 # --- membership -------------------------------------------------------------------------------------------------
 
 BITS, HASHES = BloomFilter.parameters_for(1500, 0.01)
@@ -518,12 +547,17 @@ def set_jaccard(spark, d):
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-def _drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns what its sink holds."""
+def _drain(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there; what it has in the end is written to the shared folder, with the stream's state."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{scratch_root(spark)}/rillmark-streams/{name}-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows")  # every batch holds all rows (complete mode)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _event_stream(spark, d, delay: str = "1 hour") -> DataFrame:

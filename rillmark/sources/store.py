@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ KINDS = {c.KIND: c for c in (HyperLogLog, CountMin, SpaceSaving, TDigest, BloomF
 VERSION = 1
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="rillmark-")
+
+
 def save(sketch: Sketch, path: str) -> None:
     """Writes ``path``/table and ``path``/parameters."""
     spark = sketch.table.sparkSession

@@ -470,3 +470,31 @@ def test_sorted_digest_is_the_greedy_digest(spark):
     mean, weight = compress(np.sort(xs), np.ones(len(xs), np.int64), 50.0)
     assert [r["weight"] for r in got] == weight.tolist() and np.allclose([r["mean"] for r in got], mean, rtol=1e-12, atol=1e-12)
     assert {(r["total"], r["low"], r["high"]) for r in got} == {(len(xs), xs.min(), xs.max())}
+
+
+def test_families(spark):
+    import rillmark as r
+
+    df = spark.range(50).select(F.col("id").alias("x"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
+    got = build_all(df, None)
+    assert isinstance(got["hll"], r.CardinalitySketch) and isinstance(got["sorted"], r.QuantileSketch)
+    assert isinstance(got["cms"], r.FrequencySketch) and isinstance(got["space-saving"], r.FrequencySketch) and isinstance(got["space-saving"], r.HeavyHitters)
+    assert isinstance(got["bloom"], r.MembershipSketch) and isinstance(got["reservoir"], r.SamplingSketch) and not isinstance(got["moments"], r.FrequencySketch)
+    assert got["space-saving"].exceeding(df.select("x"), "x", 1).count() == 5
+
+
+def test_sql_functions_and_views(spark):
+    from rillmark import sqlapi
+
+    df = items(spark, 3_000)
+    assert set(sqlapi.register_functions(spark)) == set(sqlapi.FUNCTIONS)
+    df.createOrReplaceTempView("sql_items")
+    sketch = HyperLogLog.build(df, "item", 11)
+    rows = spark.sql("SELECT idx, max(rho) AS rho, count(*) AS n FROM (SELECT sketch_register(h, 11) AS idx, sketch_rank(h, 11) AS rho FROM (SELECT sketch_hash(item) AS h FROM sql_items)) GROUP BY idx")
+    assert sorted(rows.collect()) == sorted(sketch.table.collect())
+    assert sqlapi.register_views(sketch, "users") == ["users", "users_estimate"]
+    assert one(spark.sql("SELECT estimate FROM users_estimate"))["estimate"] == one(sketch.estimate())["estimate"]
+    cells = spark.sql("SELECT DISTINCT sketch_cell(item, 1, 50) AS col FROM sql_items")
+    assert {r["col"] for r in cells.collect()} == {r["col"] for r in CountMin.build(df, "item", 50, 2).table.where("row = 1").collect()}
+    assert one(spark.sql("SELECT sketch_z_score(0.95) AS z, sketch_precision_for_error(0.01) AS p, sketch_hash(NULL) AS h, sketch_hash_fast(NULL) AS f")).asDict() == {"z": 1.96, "p": 14, "h": None, "f": None}
+    assert "digest_median" in sqlapi.register_views(TDigest.build(values(spark, [1, 2, 3]), "value"), "digest")
