@@ -11,7 +11,7 @@ from rillmark.llm import packing, passages, quality, simhash, toxicity
 from rillmark.llm.common import table
 from tests.conftest import SMALL
 
-MIDDLE = "/root/testdata/sf0.01"
+MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def vocabulary(rng, n=3_000):
@@ -227,13 +227,29 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    got = {r["doc_id"]: r for r in toxicity.op10(spark, MIDDLE).collect()}
-    labels = {r["doc_id"]: r["toxic"] for r in table(spark, MIDDLE, "labels").collect()}
+    """On the larger table, as few toxic rows are held out: held-out rows alone count."""
+    got = {r["doc_id"]: r for r in toxicity.op10(spark, LARGE).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, LARGE, "labels").collect()}
     held = [i for i in labels if got[i]["held_out"]]
-    clean = [i for i in held if labels[i] == 0]
-    assert np.mean([got[i]["predicted"] for i in clean]) < 0.05
-    rest = [i for i in labels if labels[i] == 1]
-    assert np.mean([got[i]["predicted"] for i in rest]) > 0.5
+    clean, toxic = ([i for i in held if labels[i] == y] for y in (0, 1))
+    assert len(toxic) >= 20
+    assert np.mean([got[i]["predicted"] for i in clean]) < 0.02
+    assert np.mean([got[i]["predicted"] for i in toxic]) > 0.8
+
+
+def test_models_take_one_text_of_an_id(spark):
+    """An id that very many rows share gives one row to fit on."""
+    rows = [(i % 40 if i < 400 else 7, f"{'good words' if i % 2 else 'bad'} number {i}") for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda x, y: seen.append(len(x)) or fit(x, y)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen[0] <= 40
 
 
 @pytest.mark.parametrize("model", [quality, toxicity])
