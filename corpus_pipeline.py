@@ -36,6 +36,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates (shingles of five words, similarity of 0.8): that of smallest id.
 
+    Texts meet by linked SimHash fingerprints (2 bits, as in op8) and by minima of their shingles; those that meet are
+    compared whole.
     Null, empty and blank texts are one group. Groups hold rows, not ids: of several texts under one id those that are
     copies go, and of rows equal in id and text one stays (any, should further columns differ). Rows without an id stay.
     An empty table gives an empty one. Only rows that may go are moved to meet the list of those that do."""

@@ -263,9 +263,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and whether the row's id and text are the first of the group (smallest id, then hash).
 
     Texts are similar if the sets of their shingles of ``words`` words have a Jaccard similarity of 0.8 or more. Equal
-    sets collapse first. Sets meet where all minima of a band are equal, which depends on their similarity alone, not
-    on where or how a text was changed; of pairs of 0.8 one in 1,300 meets in no band, and fewer above. The sets that
-    meet are fetched and compared whole (as 40-bit hashes), so that links are exact. Where many sets meet, they do so in
+    sets collapse first. Sets meet where their texts' SimHash fingerprints are linked as in ``near_duplicates`` (2 bits,
+    block by block), however few bands agree; and, as fingerprints of a pair of 0.8 mostly differ in more bits, where
+    all minima of a band are equal, which depends on their similarity alone, not on where or how a text was changed: of
+    pairs of 0.8 one in 1,300 meets in no band, and fewer above. The sets that meet are fetched and compared whole (as
+    40-bit hashes), so that links are exact. Where many sets meet, they do so in
     blocks, with a few sets that stand in all blocks; after that only sets outside the bucket's largest component are
     compared with the blocks they have not met, so no link between components is lost. A text shorter than a shingle is
     one shingle; null, empty and blank texts are each other's copies. Texts under one id are documents each, told apart
@@ -277,17 +279,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, slice_ in text_slices(batches):
-            out = set_marks(*shingle_sets(Words(slice_), words))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *[pa.array(x.view(np.int64)) for x in out]], ["id", "text_hash", *sums, *bands])
+            split = Words(slice_)
+            out = [*set_marks(*shingle_sets(split, words)), majority_bits(*shingle_hashes(split))]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *[pa.array(x.view(np.int64)) for x in out]], ["id", "text_hash", *sums, *bands, "fp"])
 
-    marks = materialize(texts.mapInArrow(tidy(marked), "id long, text_hash long, " + ", ".join(f"{n} long" for n in [*sums, *bands])), "profiles")
+    marks = materialize(texts.mapInArrow(tidy(marked), "id long, text_hash long, " + ", ".join(f"{n} long" for n in [*sums, *bands, "fp"])), "profiles")
     own = F.struct("id", "text_hash")
     nodes = marks.groupBy(*sums).agg(F.min(own).alias("one"), *[F.min(k).alias(k) for k in bands])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "profile-nodes")
-    dealt = nodes.where("d0 != 0 or d1 != 0").select(F.explode(F.array(*bands)).alias("k"), "node", F.col("one.id").alias("id"), *sums)
+    full = nodes.where("d0 != 0 or d1 != 0").select("node", F.col("one.id").alias("id"), *sums, *bands)
+    dealt = full.select(F.explode(F.array(*bands)).alias("k"), "node", "id", *sums)
+    dealt = dealt.union(materialize(_print_keys(marks).join(full, sums).select("k", "node", "id", *sums), "profile-prints"))
     met = dealt.join(dealt.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "k")
     part = F.struct("k", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = materialize(met.groupBy("node", "id", *sums).agg(F.collect_list(part).alias("ks")), "profile-met")  # at most BANDS keys
+    met = materialize(met.groupBy("node", "id", *sums).agg(F.collect_list(part).alias("ks")), "profile-met")  # BANDS keys, and one for each group of fingerprints that texts of this set have
     crowded = not met.where(F.exists("ks", lambda x: x["blocks"] > 1)).isEmpty()
     bits = id_filter(met, "id")
 
@@ -349,6 +354,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return marks.join(best, sums).select("id", "text_hash", F.col("best.id").alias("component"), (own == F.col("best")).alias("first"))
 
 
+def _print_keys(marks: DataFrame) -> DataFrame:
+    """(d0, d1, k): a key for each group of linked fingerprints that the texts of a set have."""
+    prints = materialize(marks.where("d0 != 0 or d1 != 0").select("d0", "d1", "fp").distinct(), "prints")
+    roots = connected_components(near_links(prints.select(F.col("fp").alias("node"), "fp").distinct()))
+    named = prints.join(roots, prints["fp"] == roots["node"], "left")
+    return named.select("d0", "d1", F.xxhash64(F.coalesce("root", "fp"), F.lit("print")).alias("k")).distinct()
+
+
 def _in_blocks(held: DataFrame) -> DataFrame:
     """Each bucket of each set: k, blocks, the set's block and the key of both, with the columns of ``held``."""
     rest = [c for c in held.columns if c != "ks"]

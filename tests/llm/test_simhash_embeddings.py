@@ -1,12 +1,13 @@
 """SimHash and vectors against brute force, and what odd rows give."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from rillmark.llm import embeddings, graph, simhash
-from rillmark.llm.common import local_components, table
+from rillmark.llm.common import Words, local_components, table
 from rillmark.llm.xxh import xxh64
 from tests.conftest import SMALL
 
@@ -125,6 +126,24 @@ def test_similar_documents_are_brute_force(spark):
         assert sum(near[g] and got[2 * g + 1] != 2 * g for g in of) <= 1
 
 
+def test_linked_fingerprints_meet_without_a_band(spark):
+    """Copies whose fingerprints are within two bits are found though no band of minima agrees."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(500):
+        base, phrase = [f"w{x}" for x in rng.integers(0, 5000, 60)], [f"p{x}" for x in rng.integers(0, 5000, 4)] * 60
+        cut = rng.integers(4, 8)
+        texts += [" ".join(phrase + base), " ".join(phrase + base[cut:] + [f"n{x}" for x in rng.integers(0, 5000, 2)])]
+    words = Words(pa.array(texts))
+    fp, (values, each) = simhash.majority_bits(*simhash.shingle_hashes(words)), simhash.shingle_sets(words)
+    marks, sets = simhash.set_marks(values, each), [set(x.tolist()) for x in np.split(values, np.cumsum(each)[:-1])]
+    near = [g for g in range(0, 1000, 2) if (int(fp[g]) ^ int(fp[g + 1])).bit_count() <= 2 and len(sets[g] & sets[g + 1]) >= 0.8 * len(sets[g] | sets[g + 1])]
+    unmet = [g for g in near if all(k[g] != k[g + 1] for k in marks[2:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_documents(df.repartition(4)).collect()}
+    assert unmet and all(got[g] == got[g + 1] == g for g in near)
+
+
 def test_similar_runs_are_brute_force():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 2**40, 60)) for _ in range(6)]
