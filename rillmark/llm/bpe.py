@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rillmark.llm.common import ragged
+from rillmark.llm.common import bytes_of, ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 NONE = np.iinfo(np.int64).max
 KEPT = 200_000
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The white space of Unicode beyond ASCII.
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -31,6 +32,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def slot_of(key: np.ndarray, slots: int) -> np.ndarray:
+    """Where the search for a key begins in a table of ``slots`` (a power of two)."""
+    return (key.astype(np.uint64) * ODD >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def hash_slots(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """An open hash table of distinct keys (each one's number, -1 for empty slots), and the most slots a search visits."""
+    slots = np.full(1 << (8 * len(keys) + 1).bit_length(), -1, np.int32)
+    left, at, reach = np.arange(len(keys)), slot_of(keys, len(slots)), 0
+    while len(left):
+        free = np.flatnonzero(slots[at] < 0)
+        taken, first = np.unique(at[free], return_index=True)
+        slots[taken] = left[free[first]]
+        rest = slots[at] != left
+        left, at, reach = left[rest], (at[rest] + 1) % len(slots), reach + 1
+    return slots, reach
+
+
 class WordBPE:
     """The vocabulary of a tokenizers file: byte-level BPE whose last symbol of a word carries a suffix."""
 
@@ -49,6 +68,7 @@ class WordBPE:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs])
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order
+        self.slots, self.reach = hash_slots(self.keys)
         self.made = np.array([vocab[a + b] for a, b in pairs])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -71,21 +91,33 @@ class WordBPE:
                 out += [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ranks(self, key: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NONE for those that are not merged."""
+        out = np.full(len(key), NONE)
+        rows, at = np.arange(len(key)), slot_of(key, len(self.slots))
+        for _ in range(self.reach):
+            no = self.slots[at]
+            used = no >= 0  # an empty slot ends a search
+            rows, at, no, key = rows[used], at[used], no[used], key[used]
+            met = self.keys[no] == key
+            out[rows[met]] = self.rank[no[met]]
+            rows, at, key = rows[~met], (at[~met] + 1) % len(self.slots), key[~met]
+        return out
+
+    def merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all words, and where each word's begin (with the end as last). No word is empty."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
         if not len(words):
             return np.zeros(0, np.int64), np.zeros(1, np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
+        data, ends = bytes_of(words)
+        size = np.diff(ends)
         symbol, owner = self.plain[data], np.repeat(np.arange(len(words)), size)
         last = np.cumsum(size) - 1
         symbol[last] = self.final[data[last]]
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            key = np.full(len(symbol), -1)
-            key[:-1] = np.where(owner[1:] == owner[:-1], symbol[:-1] * self.width + symbol[1:], -1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.rank[at], NONE)
+            rank = np.full(len(symbol), NONE)
+            inner = np.flatnonzero(owner[1:] == owner[:-1])
+            rank[inner] = self.ranks(symbol[inner] * self.width + symbol[inner + 1])
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.concatenate([first, [len(symbol)]])))
             idle = best == NONE
@@ -163,7 +195,7 @@ class WordBPE:
         for i in marks:
             tokens[i] = " "  # no pre-token
         known = pa.array(tokens, pa.string()).dictionary_encode()
-        ids, at = self.merge([x.encode() for x in known.dictionary.to_pylist()])
+        ids, at = self.merge(known.dictionary)
         number = known.indices.to_numpy()
         size, begin = np.diff(at)[number], at[:-1][number]
         size[marks], begin[marks] = 1, len(ids) + np.arange(len(marks))

@@ -12,7 +12,7 @@ from sentencepiece import SentencePieceProcessor
 from sentencepiece import sentencepiece_model_pb2 as proto
 from tokenizers import Tokenizer
 
-from rillmark.llm import packing, pieces, tokens
+from rillmark.llm import bpe, packing, pieces, tokens
 from rillmark.llm.bpe import WIDE_SPACE
 from rillmark.llm.common import table
 from tests.conftest import SMALL
@@ -40,6 +40,17 @@ def test_word_ids_are_the_library_s():
             assert ids[at[i] : at[i + 1]].tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ranks_of_pairs_are_looked_up():
+    """Every merge has its rank, other pairs none, however many keys crowd a slot."""
+    model = bpe.word_bpe(WORD)
+    assert (model.ranks(model.keys) == model.rank).all() and len(model.ranks(model.keys[:0])) == 0
+    other = np.setdiff1d(np.random.default_rng(3).integers(0, model.width**2, 200_000), model.keys)
+    assert (model.ranks(other) == bpe.NONE).all()
+    keys = np.arange(0, 4_000, 3)
+    slots, reach = bpe.hash_slots(keys)
+    assert reach >= 1 and sorted(slots[slots >= 0].tolist()) == list(range(len(keys)))
+
+
 def test_random_text_is_encoded_like_the_library():
     rng = random.Random(1)
     alphabet = "abcXYZ 0123.,'!<|>\n\t\u00e9\u00df\u03a3\u0301\u4e2d\U0001f600\u00a0\u0130"
